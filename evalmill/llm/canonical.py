@@ -109,8 +109,9 @@ class Trie:
             if words:
                 by_width.setdefault(sum(map(len, words)) // 64 + 1, []).append(i)
         for width, members in by_width.items():
-            for k in range(0, len(members), 2000):
-                self._search(values, members[k : k + 2000], width, edits, found)
+            step = 4000 >> 2 * edits  # the more edits, the more branches live at once
+            for k in range(0, len(members), max(1, step)):
+                self._search(values, members[k : k + max(1, step)], width, edits, found)
         return found
 
     def _search(self, values, members, width, edits, found) -> None:
@@ -194,17 +195,12 @@ def choose(words: list[str], candidates: set[tuple[int, int, bool, int]]) -> tup
     return (winners[0] if len(winners) == 1 else 0), top, top >= size - 3
 
 
-def match_texts(trie: Trie, texts: list[str]) -> list[tuple[int, int]]:
-    """(entry or 0, score) of each text: nearest first, more edits only where fewer don't explain it."""
-    words = [fold(x) for x in texts]
-    out, steps = [(0, -99)] * len(texts), []
+def nearest(trie: Trie, words: list[list[str]]) -> list[tuple[int, int]]:
+    """(entry or 0, score) of each value: nearest first, more edits only where fewer don't explain it."""
+    out = [(0, -99)] * len(words)
     open_ = [i for i, w in enumerate(words) if w]
-    for edits in (0, 1, 3, 3):
+    for edits in (0, 1, 3):
         following = []
-        if edits == 3 and len(steps := [*steps, edits]) == 2:  # a name broken by a blank before its parts changed places
-            open_ = [i for i in open_ if not out[i][0] and "," in texts[i]]
-            for i in open_:
-                words[i] = fold(" ".join(reversed(texts[i].split(",", 1))))
         for i, found in zip(open_, trie.search([words[i] for i in open_], edits)):
             entry, score, settled = choose(words[i], found)
             out[i] = (entry, score)
@@ -214,6 +210,16 @@ def match_texts(trie: Trie, texts: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def match_texts(trie: Trie, texts: list[str]) -> list[tuple[int, int]]:
+    """(entry or 0, score) of each text."""
+    out = nearest(trie, [fold(x) for x in texts])
+    # A name that was broken by a blank before its parts changed places.
+    turned = [i for i, x in enumerate(texts) if not out[i][0] and "," in x]
+    for i, again in zip(turned, nearest(trie, [fold(" ".join(reversed(texts[i].split(",", 1)))) for i in turned])):
+        out[i] = max(out[i], again)
+    return out
+
+
 def match_values(values: DataFrame, entries: DataFrame, value: str, block: int = 200_000) -> DataFrame:
     """``values`` (one row for each distinct value) with ``entry_id``, 0 for those that match nothing.
 

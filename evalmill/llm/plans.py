@@ -6,10 +6,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..session import scratch
 from ..sources.tables import table
+from . import percentiles as radix
 from .canonical import canonical_entries
+from .formatting import collapse, further_copies
 
 catalog = Catalog()
+RECORD = ["category", "type", "difficulty", "question", "correct_answer"]
+
+
+@catalog.add("p1_found")
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "raw_questions").select("raw_id", *RECORD, "incorrect_answers")
+    return further_copies(collapse(rows, "raw_id", RECORD, ["incorrect_answers"]))
+
+
+@catalog.add("p1_records")
+def p1_records(spark: SparkSession, base: str) -> DataFrame:
+    """Each record once, as its first row has it, with the number of its copies."""
+    rows = table(spark, base, "raw_questions").select("raw_id", *RECORD, "incorrect_answers")
+    groups = collapse(rows, "raw_id", RECORD, ["incorrect_answers"]).groups
+    return groups.select(F.col("first_id").alias("raw_id"), F.col("n").alias("n_copies")).join(rows, "raw_id")
+
+
+QUANTILES = [0.5, 0.9, 0.95, 0.99]
+#: Percentiles by run and by variant, each over all batches (batch_no null) and for each batch.
+SETS = [{"dimension": f"'{c}'", "level": f"'{level}'", "group_value": c, "batch_no": b} for c in ("run_id", "variant_label") for level, b in (("all", "cast(null as int)"), ("batch", "batch_no"))]
+BY = ["run_id", "variant_label", "batch_no"]
+P2_SQL = """WITH g AS (
+  SELECT 'run_id' AS dimension, 'all' AS level, run_id AS group_value, NULL::int AS batch_no, response_time AS v FROM fct_answer
+  UNION ALL SELECT 'run_id', 'batch', run_id, batch_no, response_time FROM fct_answer
+  UNION ALL SELECT 'variant_label', 'all', variant_label, NULL, response_time FROM fct_answer
+  UNION ALL SELECT 'variant_label', 'batch', variant_label, batch_no, response_time FROM fct_answer),
+r AS (SELECT *, row_number() OVER (PARTITION BY dimension, level, group_value, batch_no ORDER BY v) AS rn,
+             count(*) OVER (PARTITION BY dimension, level, group_value, batch_no) AS n FROM g WHERE v IS NOT NULL)
+SELECT dimension, level, group_value, batch_no, n, """ + ", ".join(f"max(v) FILTER (rn = greatest(1, ceil({q} * n - 1e-9))) AS p{q * 100:g}" for q in QUANTILES) + """
+FROM r GROUP BY ALL"""
+
+
+def _wide(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each group, its quantiles side by side."""
+    names = {(q, c): f"p{q * 100:g}".replace(".", "_") + ("" if c == "value" else f"_{c}") for q in QUANTILES for c in columns}
+    out = df.groupBy("_g").agg(F.max("total").alias("n"), *(F.max(F.when(F.col("q") == q, F.col(c))).alias(n) for (q, c), n in names.items()))
+    return out.select("_g.*", "n", *names.values())
+
+
+@catalog.add("p2_percentiles", P2_SQL)
+def p2_percentiles(spark: SparkSession, base: str) -> DataFrame:
+    keys = scratch(radix.encoded(table(spark, base, "fct_answer"), BY, "response_time"), "bits")
+    targets = radix.first_digit(radix.summarise(keys, BY), SETS, QUANTILES)
+    return _wide(radix.select_exactly(keys, targets, SETS), ["value"])
+
+
+@catalog.add("p2_bounds")
+def p2_bounds(spark: SparkSession, base: str) -> DataFrame:
+    """The same groups from summaries made for each day alone and then added: one scan, bounds within 1/16."""
+    days = table(spark, base, "fct_answer").withColumn("day", F.to_date("called_at"))
+    daily = scratch(radix.summarise(radix.encoded(days, [*BY, "day"], "response_time"), [*BY, "day"]), "daily")
+    return _wide(radix.within_bounds(radix.first_digit(radix.merge(daily, BY), SETS, QUANTILES)), ["lo", "hi"])
 
 
 @catalog.add("p3_found")
