@@ -10,7 +10,9 @@ from ..session import scratch
 from ..sources.tables import table
 from . import percentiles as radix
 from .canonical import canonical_entries
+from .encoding import encode_corpus
 from .formatting import collapse, further_copies
+from .packing import pack_along_curve, with_curve_key
 
 catalog = Catalog()
 RECORD = ["category", "type", "difficulty", "question", "correct_answer"]
@@ -71,3 +73,24 @@ def p2_bounds(spark: SparkSession, base: str) -> DataFrame:
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "fct_answer").select("answer_id", "predicted_text")
     return canonical_entries(rows, table(spark, base, "answer_entries"), "predicted_text").select("answer_id", "entry_id")
+
+
+@catalog.add("p7_ids")
+def p7_ids(spark: SparkSession, base: str) -> DataFrame:
+    return encode_corpus(table(spark, base, "documents"), "doc_id", "text")
+
+
+#: Tokens a container holds.
+CAPACITY = 2048
+
+
+@catalog.add("p8_packed")
+def p8_packed(spark: SparkSession, base: str) -> DataFrame:
+    sized = scratch(with_curve_key(encode_corpus(table(spark, base, "documents"), "doc_id", "text"), "doc_id"), "sized")
+    return pack_along_curve(sized, "doc_id", CAPACITY)
+
+
+@catalog.add("p8_containers")
+def p8_containers(spark: SparkSession, base: str) -> DataFrame:
+    packed = p8_packed(spark, base)
+    return packed.groupBy("container_id").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), (CAPACITY - F.sum("n_tokens")).alias("unused"))
