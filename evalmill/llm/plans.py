@@ -13,6 +13,7 @@ from .canonical import canonical_entries
 from .encoding import encode_corpus
 from .formatting import collapse, further_copies
 from .packing import pack_along_curve, with_curve_key
+from .personal import GIVEN, find_personal, redacted
 
 catalog = Catalog()
 RECORD = ["category", "type", "difficulty", "question", "correct_answer"]
@@ -54,27 +55,40 @@ def _wide(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("_g.*", "n", *names.values())
 
 
+def _daily(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """The values as ordered integers, and their summaries for each run, variant, batch and day."""
+    rows = table(spark, base, "fct_answer").withColumn("day", F.to_date("called_at"))
+    keys = scratch(radix.encoded(rows, [*BY, "day"], "response_time"), "bits")
+    return keys, scratch(radix.summarise(keys, [*BY, "day"]), "daily")
+
+
+@catalog.add(
+    "p2_summaries",
+    """WITH v AS (SELECT run_id, variant_label, batch_no, called_at::date AS day, response_time AS v, floor(log2(nullif(response_time, 0))) AS e0
+               FROM fct_answer WHERE response_time IS NOT NULL),
+     x AS (SELECT *, CASE WHEN v >= pow(2, e0 + 1) THEN e0 + 1 WHEN v < pow(2, e0) THEN e0 - 1 ELSE e0 END AS e FROM v)
+     SELECT run_id, variant_label, batch_no, day, coalesce(pow(2, e) * floor(v / pow(2, e) * 16) / 16, 0) AS lo, count(*) AS n FROM x GROUP BY ALL""",
+)
+def p2_summaries(spark: SparkSession, base: str) -> DataFrame:
+    """The mergeable form: bins (by their lower limit) of the values of each run, variant, batch and day."""
+    _, daily = _daily(spark, base)
+    return daily.select(*BY, "day", radix.from_bits(F.shiftleft("prefix", 64 - radix.DIGIT)).alias("lo"), "n")
+
+
 @catalog.add("p2_percentiles", P2_SQL)
 def p2_percentiles(spark: SparkSession, base: str) -> DataFrame:
-    keys = scratch(radix.encoded(table(spark, base, "fct_answer"), BY, "response_time"), "bits")
-    targets = radix.first_digit(radix.summarise(keys, BY), SETS, QUANTILES)
-    return _wide(radix.select_exactly(keys, targets, SETS), ["value"])
+    """Exact: the merged summaries tell which bins to follow to the last digit."""
+    keys, daily = _daily(spark, base)
+    return _wide(radix.select_exactly(keys, radix.first_digit(radix.merge(daily, BY), SETS, QUANTILES), SETS), ["value"])
 
 
 @catalog.add("p2_bounds")
 def p2_bounds(spark: SparkSession, base: str) -> DataFrame:
-    """The same groups from summaries made for each day alone and then added: one scan, bounds within 1/16."""
-    days = table(spark, base, "fct_answer").withColumn("day", F.to_date("called_at"))
-    daily = scratch(radix.summarise(radix.encoded(days, [*BY, "day"], "response_time"), [*BY, "day"]), "daily")
+    """The same groups from the summaries alone, with the limits of each quantile (within 1/16 of it)."""
+    _, daily = _daily(spark, base)
     return _wide(radix.within_bounds(radix.first_digit(radix.merge(daily, BY), SETS, QUANTILES)), ["lo", "hi"])
 
 
-@catalog.add("p3_found")
-def p3_found(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "fct_answer").select("answer_id", "predicted_text")
-    return canonical_entries(rows, table(spark, base, "answer_entries"), "predicted_text").select("answer_id", "entry_id")
-
-
 @catalog.add("p7_ids")
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_corpus(table(spark, base, "documents"), "doc_id", "text")
@@ -94,3 +108,19 @@ def p8_packed(spark: SparkSession, base: str) -> DataFrame:
 def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     packed = p8_packed(spark, base)
     return packed.groupBy("container_id").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), (CAPACITY - F.sum("n_tokens")).alias("unused"))
+
+
+def _given_names(spark: SparkSession, base: str) -> list[str]:
+    """Given names of the reference list's persons, beside the usual ones; at most a few hundred."""
+    first = table(spark, base, "answer_entries").where("kind = 'person'").select(F.substring_index("name", " ", 1).alias("g")).distinct().limit(2000)
+    return sorted({r.g for r in first.collect() if r.g} | set(GIVEN))
+
+
+@catalog.add("p9_found")
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return find_personal(table(spark, base, "documents"), "doc_id", "text", _given_names(spark, base))
+
+
+@catalog.add("p9_redacted")
+def p9_redacted(spark: SparkSession, base: str) -> DataFrame:
+    return redacted(table(spark, base, "documents").select("doc_id", "text"), "text", _given_names(spark, base)).drop("text")
