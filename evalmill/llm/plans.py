@@ -14,6 +14,7 @@ from .encoding import encode_corpus
 from .formatting import collapse, further_copies
 from .packing import pack_along_curve, with_curve_key
 from .personal import GIVEN, find_personal, redacted
+from .truncation import truncated_replies
 
 catalog = Catalog()
 RECORD = ["category", "type", "difficulty", "question", "correct_answer"]
@@ -124,3 +125,28 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 @catalog.add("p9_redacted")
 def p9_redacted(spark: SparkSession, base: str) -> DataFrame:
     return redacted(table(spark, base, "documents").select("doc_id", "text"), "text", _given_names(spark, base)).drop("text")
+
+
+def _truncated(spark: SparkSession, base: str, rows: DataFrame) -> DataFrame:
+    """Of rows (question_id, text, max_tokens, completion_tokens, more) those with a truncated text."""
+    questions = table(spark, base, "questions").select("question_id", "options")
+    limited = rows.withColumn("at_limit", (F.col("max_tokens") > 0) & (F.col("completion_tokens") >= F.col("max_tokens"))).drop("max_tokens", "completion_tokens")
+    return truncated_replies(limited, "text", "question_id", "at_limit", questions)
+
+
+@catalog.add("p4_found")
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "llm_responses").select("response_id", "question_id", F.col("content").alias("text"), "max_tokens", "completion_tokens")
+    return _truncated(spark, base, rows).select("response_id")
+
+
+@catalog.add("p4_shares")
+def p4_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The share of truncated replies among those with a content, by run, model and transport."""
+    rows = table(spark, base, "llm_responses").select("response_id", "run_id", "transport", "question_id", F.col("content").alias("text"), "max_tokens", "completion_tokens")
+    cut = _truncated(spark, base, rows).groupBy("run_id", "transport").agg(F.count("*").alias("n_truncated"))
+    all_ = rows.groupBy("run_id", "transport").agg(F.count("*").alias("n"), F.count_if(F.trim("text") != "").alias("n_content"))
+    models = table(spark, base, "runs").select("run_id", "model_key").dropDuplicates(["run_id"])
+    same = F.col("a.run_id").eqNullSafe(F.col("c.run_id")) & F.col("a.transport").eqNullSafe(F.col("c.transport"))
+    joined = all_.alias("a").join(cut.alias("c"), same, "left").select("a.*", F.coalesce("n_truncated", F.lit(0)).alias("n_truncated"))
+    return joined.join(models, "run_id", "left").select("run_id", "model_key", "transport", "n", "n_content", "n_truncated", (F.col("n_truncated") / F.nullif("n_content", F.lit(0))).alias("truncated_share"))
