@@ -13,6 +13,7 @@ from .canonical import canonical_entries
 from .encoding import encode_corpus
 from .formatting import collapse, further_copies
 from .packing import pack_along_curve, with_curve_key
+from .pairs import defective_pairs
 from .personal import GIVEN, find_personal, redacted
 from .truncation import truncated_replies
 
@@ -150,3 +151,16 @@ def p4_shares(spark: SparkSession, base: str) -> DataFrame:
     same = F.col("a.run_id").eqNullSafe(F.col("c.run_id")) & F.col("a.transport").eqNullSafe(F.col("c.transport"))
     joined = all_.alias("a").join(cut.alias("c"), same, "left").select("a.*", F.coalesce("n_truncated", F.lit(0)).alias("n_truncated"))
     return joined.join(models, "run_id", "left").select("run_id", "model_key", "transport", "n", "n_content", "n_truncated", (F.col("n_truncated") / F.nullif("n_content", F.lit(0))).alias("truncated_share"))
+
+
+@catalog.add("p5_found")
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "fct_answer").select("answer_id", "question_id", "question", "ai_answer", ((F.col("max_tokens") > 0) & (F.col("completion_tokens") >= F.col("max_tokens"))).alias("at_limit"))
+    return defective_pairs(rows, "answer_id", "question", "ai_answer", "question_id", "at_limit", table(spark, base, "questions").select("question_id", "options"))
+
+
+@catalog.add("p5_by_type")
+def p5_by_type(spark: SparkSession, base: str) -> DataFrame:
+    """Defects by type beside what grade and finish_reason say of the same rows."""
+    answers = table(spark, base, "fct_answer").select("answer_id", "grade", "finish_reason")
+    return p5_found(spark, base).join(answers, "answer_id").groupBy("defect", "grade", "finish_reason").agg(F.count("*").alias("n"))
