@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +44,12 @@ class SeenMessages:
     def _pointer(self) -> str:
         return f"{self.path}/CURRENT"
 
-    def version(self) -> str | None:
+    def current(self) -> dict:
         fs, p = hadoop_path(self.spark, self._pointer())
-        if not fs.exists(p):
-            return None
-        return json.loads("".join(r.value for r in self.spark.read.text(self._pointer()).collect()))["version"]
+        return json.loads(self.spark.read.text(self._pointer()).first().value) if fs.exists(p) else {}
+
+    def version(self) -> str | None:
+        return self.current().get("version")
 
     def dictionary(self, key: str) -> DataFrame | None:
         v = self.version()
@@ -61,7 +63,24 @@ class SeenMessages:
         b = self.bitmaps()
         return 0 if b is None else b.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))).first()[0]
 
-    def replace(self, dictionaries: dict[str, DataFrame], bitmaps: DataFrame) -> None:
+    def admit(self, rows: DataFrame, order: str, write: Callable[[DataFrame], None], mark: str | None = None) -> bool:
+        """Hand the rows that bring a message for the first time to ``write``, then remember the messages.
+
+        The new bits are united with the old ones only after ``write`` returned, in one rename with the
+        batch's ``mark``. A batch that failed before that is run again and writes the same rows; one that
+        was remembered already is left alone, and False returned.
+        """
+        if mark is not None and self.current().get("mark") == mark:
+            return False
+        kept, new, dictionaries = _kept(rows, self.keys, order, self)
+        write(kept)
+        built = new.groupBy(*_shards(self.keys)).agg(F.bitmap_construct_agg("_bit").alias("bits"))
+        old = self.bitmaps()
+        both = built if old is None else built.unionByName(old).groupBy(*_shards(self.keys)).agg(F.bitmap_or_agg("bits").alias("bits"))
+        self.replace(dictionaries, both, mark)
+        return True
+
+    def replace(self, dictionaries: dict[str, DataFrame], bitmaps: DataFrame, mark: str | None = None) -> None:
         v = f"v-{uuid.uuid4().hex[:12]}"
         for key, d in dictionaries.items():
             d.write.option("compression", "zstd").parquet(f"{self.path}/{v}/dictionary-{key}")
@@ -69,7 +88,7 @@ class SeenMessages:
         fs, p = hadoop_path(self.spark, self._pointer())
         _, new = hadoop_path(self.spark, f"{self._pointer()}-{v}")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
+        out.write(bytearray(json.dumps({"version": v, "mark": mark}).encode()))
         out.close()
         rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
         how = self.spark.sparkContext._gateway.new_array(rename, 1)
@@ -77,6 +96,10 @@ class SeenMessages:
         self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(new), fs.makeQualified(p), how)
 
 
+def _shards(keys: list[str]) -> list[str]:
+    return [*(f"_{k}" for k in keys[:-1]), "_bucket"]
+
+
 def encode_messages(rows: DataFrame, keys: list[str], order: str, dictionaries: dict[str, DataFrame]) -> DataFrame:
     """``rows`` as (identifier codes, bucket, position, order): what tells messages apart, in integers."""
     out = rows.select(*keys, F.col(order).alias("_order")).dropna(subset=keys)
@@ -99,7 +122,7 @@ def first_arrivals(rows: DataFrame, keys: list[str], order: str, seen: SeenMessa
     a billion times is as cheap as any other.
     """
     dictionaries = {k: grown_dictionary(seen.dictionary(k) if seen else None, rows, [k], f"{k}_code") for k in keys}
-    bits = [*(f"_{k}" for k in keys[:-1]), "_bucket", "_bit"]
+    bits = [*_shards(keys), "_bit"]
     arrivals = scratch(encode_messages(rows, keys, order, dictionaries), "arrivals")
     firsts = arrivals.groupBy(*bits).agg(F.min("_order").alias("_first"), F.count("*").alias("_n"))
     old = seen.bitmaps() if seen else None
@@ -126,27 +149,23 @@ def surplus_arrivals(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return counted.withColumn("_t", times).where("_t > 0").select(F.col("_first").alias("kept"), F.col("_order").alias("copy"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_t")))).select("kept", "copy")
 
 
-def keep_one(rows: DataFrame, keys: list[str], order: str, seen: SeenMessages | None = None) -> DataFrame:
-    """The rows of a batch that bring a message for the first time; with ``seen``, over all batches so far.
-
-    ``order`` must tell the rows of one message apart (an arrival number); of equal ones any is taken.
-    The result is written before the new bits are united with the old ones: if the job dies between
-    the two, the batch is simply run again.
-    """
-    arrivals, firsts, dictionaries = first_arrivals(rows, keys, order, seen)
-    bits = [c for c in arrivals.columns if c != "_order"]
+def _kept(rows: DataFrame, keys: list[str], order: str, seen: SeenMessages | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    _, firsts, dictionaries = first_arrivals(rows, keys, order, seen)
     new = firsts.where("not _seen")
     code = ((F.col("_bucket") - 1) * 32768 + F.col("_bit")).cast("bigint")
-    wanted = new.select(*bits[:-2], code.alias(f"_{keys[-1]}"), F.col("_first").alias(order))
+    wanted = new.select(*_shards(keys)[:-1], code.alias(f"_{keys[-1]}"), F.col("_first").alias(order))
     for key in keys:  # back from codes to identifiers, for the new messages only
         wanted = wanted.join(dictionaries[key].withColumnRenamed(f"{key}_code", f"_{key}"), f"_{key}").drop(f"_{key}")
     # Joined by arrival number as well, so that the copies of a message spread over the tasks.
     kept = rows.join(wanted, [*keys, order], "left_semi").dropDuplicates([*keys])
     nameless = rows.where(" or ".join(f"`{k}` is null" for k in keys))
-    out = scratch(kept.unionByName(nameless), "kept")
-    if seen is not None:
-        built = new.groupBy(*bits[:-1]).agg(F.bitmap_construct_agg("_bit").alias("bits"))
-        old = seen.bitmaps()
-        both = built if old is None else built.unionByName(old).groupBy(*bits[:-1]).agg(F.bitmap_or_agg("bits").alias("bits"))
-        seen.replace(dictionaries, both)
-    return out
+    return scratch(kept.unionByName(nameless), "kept"), new, dictionaries
+
+
+def keep_one(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row of each message, that with the smallest ``order``, and all rows that have no identity.
+
+    ``order`` is an arrival number, not null. Rows that are equal in it too are one arrival written
+    twice; any one of them is kept. Columns may have any names but those beginning with an underscore.
+    """
+    return _kept(rows, keys, order, None)[0]

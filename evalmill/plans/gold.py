@@ -16,7 +16,7 @@ from ..sources.tables import table
 catalog = Catalog()
 
 RUN = ["run_id", "model_short", "prompt_variant", "variant_label", "reasoning_mode"]
-#: Decimals kept of order statistics and intervals, and of sums and means, whose last digits depend on the order of addition.
+#: Decimals kept of order statistics and intervals, and of standard deviations, whose last digits depend on the order of addition.
 EXACT, SUMMED = 9, 6
 
 #: The fact with one row for each message, for oracle SQL.
@@ -39,12 +39,13 @@ def quantile(c: str, q: float) -> Column:
     return F.round(F.percentile(F.col(c).cast("double"), q), EXACT)
 
 
-def mean(c: str) -> Column:
-    return F.round(F.avg(F.col(c).cast("double")), SUMMED)
+def total(c: str) -> Column:
+    """Summed in micro units, so that the result doesn't depend on the order of addition."""
+    return F.sum(F.col(c).cast("decimal(20,6)")).cast("double")
 
 
-def total(c: str) -> Column:
-    return F.round(F.sum(F.col(c).cast("double")), SUMMED)
+def mean(c: str) -> Column:
+    return total(c) / F.nullif(F.count(c), F.lit(0))
 
 
 def chance() -> Column:
@@ -149,8 +150,8 @@ def fct_answer_built(spark: SparkSession, base: str) -> DataFrame:
 @catalog.add("mart_run_summary", f"""WITH {FACT_SQL}, a AS (SELECT {', '.join(RUN)}, model_key, count(*) AS n, count_if(ai_correct)::bigint AS n_correct, count_if(grade = 'unparseable')::bigint AS n_unparseable,
     count_if(grade = 'error')::bigint AS n_error, count_if(is_parsed)::bigint AS n_parsed, count_if(is_expected_format)::bigint AS n_expected_format, count(*) FILTER (WHERE is_truncated) AS n_truncated,
     count_if(ai_correct AND is_parsed)::bigint AS n_correct_parsed, {SQL_CHANCE}, {medians('response_time', 'tokens_per_second', 'ttft_s', 'time_per_token')},
-    round(quantile_cont(response_time, 0.9), 9) AS p90_response_time, round(quantile_cont(response_time, 0.95), 9) AS p95_response_time, round(avg(response_time), 6) AS mean_response_time,
-    round(avg(prompt_tokens), 6) AS mean_prompt_tokens, round(avg(completion_tokens), 6) AS mean_completion_tokens, round(sum(response_time), 6) AS total_duration_s FROM f GROUP BY ALL)
+    round(quantile_cont(response_time, 0.9), 9) AS p90_response_time, round(quantile_cont(response_time, 0.95), 9) AS p95_response_time, sum(response_time::decimal(20,6))::double / nullif(count(response_time), 0) AS mean_response_time,
+    sum(prompt_tokens::decimal(20,6))::double / nullif(count(prompt_tokens), 0) AS mean_prompt_tokens, sum(completion_tokens::decimal(20,6))::double / nullif(count(completion_tokens), 0) AS mean_completion_tokens, sum(response_time::decimal(20,6))::double AS total_duration_s FROM f GROUP BY ALL)
   SELECT *, n_correct_parsed::double / nullif(n_parsed, 0) AS accuracy_parsed_only, n_unparseable::double / nullif(n, 0) AS unparseable_rate,
     n_expected_format::double / nullif(n, 0) AS format_compliance_rate, n_truncated::double / nullif(n, 0) AS truncation_rate, {SQL_ACC} FROM a""")
 def mart_run_summary(spark: SparkSession, base: str) -> DataFrame:
@@ -236,8 +237,8 @@ def mart_position_bias(spark: SparkSession, base: str) -> DataFrame:
 
 
 @catalog.add("mart_latency_by_run", f"""WITH {FACT_SQL} SELECT {', '.join(RUN)}, type, count(*) AS n, {medians('response_time', 'ttft_s', 'tokens_per_second', 'time_per_token', 'prompt_tokens', 'completion_tokens')},
-  round(quantile_cont(response_time, 0.9), 9) AS p90_response_time, round(quantile_cont(response_time, 0.95), 9) AS p95_response_time, round(avg(response_time), 6) AS mean_response_time,
-  round(stddev_samp(response_time), 6) AS stddev_response_time, min(response_time) AS min_response_time, max(response_time) AS max_response_time, round(sum(response_time), 6) AS total_duration_s FROM f GROUP BY ALL""")
+  round(quantile_cont(response_time, 0.9), 9) AS p90_response_time, round(quantile_cont(response_time, 0.95), 9) AS p95_response_time, sum(response_time::decimal(20,6))::double / nullif(count(response_time), 0) AS mean_response_time,
+  round(stddev_samp(response_time), 6) AS stddev_response_time, min(response_time) AS min_response_time, max(response_time) AS max_response_time, sum(response_time::decimal(20,6))::double AS total_duration_s FROM f GROUP BY ALL""")
 def mart_latency_by_run(spark: SparkSession, base: str) -> DataFrame:
     numbers = ["response_time", "ttft_s", "tokens_per_second", "time_per_token", "prompt_tokens", "completion_tokens"]
     return fact(spark, base, [*RUN, "question_id", "type", *numbers]).groupBy(*RUN, "type").agg(
@@ -270,7 +271,7 @@ def mart_question_consistency(spark: SparkSession, base: str) -> DataFrame:
 
 
 @catalog.add("mart_answer_length", f"""WITH {FACT_SQL} SELECT {', '.join(RUN)}, ai_correct, grade, count(*) AS n, {medians('completion_tokens', 'answer_chars', 'response_time')},
-  round(avg(completion_tokens), 6) AS mean_completion_tokens, round(avg(answer_chars), 6) AS mean_answer_chars FROM f GROUP BY ALL""")
+  sum(completion_tokens::decimal(20,6))::double / nullif(count(completion_tokens), 0) AS mean_completion_tokens, sum(answer_chars::decimal(20,6))::double / nullif(count(answer_chars), 0) AS mean_answer_chars FROM f GROUP BY ALL""")
 def mart_answer_length(spark: SparkSession, base: str) -> DataFrame:
     f = fact(spark, base, [*RUN, "question_id", "ai_correct", "grade", "completion_tokens", "answer_chars", "response_time"])
     return f.groupBy(*RUN, "ai_correct", "grade").agg(
