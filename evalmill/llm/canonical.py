@@ -179,13 +179,13 @@ def choose(words: list[str], candidates: set[tuple[int, int, bool, int]]) -> tup
 
     The entry that explains most letters with the fewest edits; 0 if none does or two do it equally.
     What a match leaves over, framing words aside, counts against it, and a match that is short or
-    written in a short form must leave nothing over if it has edits.
+    written in a short form must be the whole value but for a letter if it has edits.
     """
     size = sum(len(w) for w in words if w not in FRAMING)
     best: dict[int, int] = {}
     for entry, length, short, e in candidates:
         over = max(0, size - length)
-        if e and over > (2 if short or length < 10 else length // 2):
+        if e and (e > 2 or not length - 1 <= size <= length + 1 if short else over > (2 if length < 10 else length // 2)):
             continue
         best[entry] = max(best.get(entry, -99), length - 3 * e - over)
     if not best:

@@ -4,9 +4,10 @@ Texts are cut where a rolling hash of the last characters says so, so that texts
 share chunks. Each distinct chunk is encoded once. A chunk's ends may fall inside a piece of the
 tokenizer's pattern; where two chunks meet, the last piece of the left one and the first pieces of the
 right one are encoded again, until the new pieces end where a piece of the right chunk ends. From
-there on its own ids hold: a piece depends only on its start and on the text up to one character
-behind its end. Ends of runs of letters or digits, and of other signs before a blank, are piece ends
-whatever came before, so that eight pieces suffice for agreement.
+there on its own ids hold: a piece depends only on its start and on the text up to two characters
+behind its end (of "'ll", the first is a piece if the last is cut off). Ends of runs of letters or
+digits, and of other signs before a blank, are piece ends whatever came before, so that a few pieces
+suffice for agreement.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from ..session import scratch
 from .tokenizers import FOLDER, PATTERN, ranked
 
 WINDOW = 16
-HEAD = 8
+#: First pieces of a chunk that are kept for joins, and characters behind a piece on which it depends.
+HEAD, BEHIND = 12, 2
 MEMO = 400_000
 
 
 def cut(text: str, average: int = 128, least: int = 32, most: int = 2048) -> list[str]:
     """The chunks of a text; ``average`` is a power of two."""
     n = len(text)
-    if n <= least:
+    if n <= max(least, WINDOW):
         return [text]
     points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
     h = np.zeros(n - WINDOW + 1, dtype="uint64")
@@ -68,38 +70,49 @@ class Pieces:
             got = self.memo[piece] = self.encoder.encode_ordinary(piece)
         return got
 
+    def settled(self, pieces: list[str]) -> int:
+        """How many of the pieces hold whatever follows."""
+        n, behind = len(pieces), 0
+        while n and behind < BEHIND:
+            n -= 1
+            behind += len(pieces[n])
+        return n
+
     def chunk(self, text: str) -> tuple[list[int], str, list[int], list[int], str, int, bool]:
-        """ids, text of the first pieces, their ends in characters and in ids, the last piece, where its
-        ids begin, whether the first pieces are all."""
+        """ids, text of the first pieces, their ends in characters and in ids, the text behind the last
+        settled piece, where its ids begin, whether the first pieces are all."""
         pieces = self.split(text)
+        settled = self.settled(pieces)
         ids: list[int] = []
         chars, counts, at, last = [], [], 0, 0
         for k, p in enumerate(pieces):
-            last = len(ids)
+            if k == settled:
+                last = len(ids)
             ids.extend(self.ids(p))
             at += len(p)
             if k < HEAD:
                 chars.append(at)
                 counts.append(len(ids))
-        whole = len(pieces) <= HEAD + 1
-        return ids, text if whole else text[: chars[-1]], chars, counts, pieces[-1] if pieces else "", last, whole
+        whole = settled <= HEAD
+        return ids, text if whole else text[: chars[-1]], chars, counts, "".join(pieces[settled:]), last, whole
 
     def stitch(self, chunks: list) -> list[int]:
         """The ids of a text from the encodings of its chunks."""
         if len(chunks) == 1:
             return list(chunks[0]["ids"])
         out: list[int] = []
-        open_ = ""  # the last piece so far, whose end isn't settled
+        open_ = ""  # the text behind the last settled piece
         for c in chunks:
             pieces = self.split(open_ + c["head"])
+            settled = self.settled(pieces)
             if c["whole"]:
-                for p in pieces[:-1]:
+                for p in pieces[:settled]:
                     out.extend(self.ids(p))
-                open_ = pieces[-1] if pieces else ""
+                open_ = "".join(pieces[settled:])
                 continue
             own = {len(open_) + e: k for e, k in zip(c["head_chars"], c["head_ids"])}
             at, start = 0, None
-            for p in pieces[:-1]:
+            for p in pieces[:settled]:
                 out.extend(self.ids(p))
                 at += len(p)
                 if at in own:
@@ -109,8 +122,8 @@ class Pieces:
                 raise AssertionError("no agreement within the first pieces of a chunk")
             out.extend(c["ids"][start : c["last"]])
             open_ = c["tail"]
-        if open_:
-            out.extend(self.ids(open_))
+        for p in self.split(open_):
+            out.extend(self.ids(p))
         return out
 
 

@@ -61,7 +61,7 @@ def collapse(rows: DataFrame, id_col: str, scalars: list[str], sets: list[str] =
 
     cells = F.array(*(cell(i)(F.col(c)) for i, c in enumerate(scalars)))
     for i, c in enumerate(sets, len(scalars)):
-        parsed = F.coalesce(F.from_json(c, "array<string>"), F.array(F.col(c)))
+        parsed = F.coalesce(F.from_json(c, "array<string>"), F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(c))))
         cells = F.concat(cells, F.transform(parsed, cell(i)))
     keyed = rows.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), cells.alias("_cells"))
     long = scratch(keyed.select("_id", "_row", F.explode("_cells").alias("_c")).select("_id", "_row", "_c.slot", "_c.value"), "cells")

@@ -88,6 +88,8 @@ def within_bounds(targets: DataFrame, digits: int = 1) -> DataFrame:
 def select_exactly(keys: DataFrame, targets: DataFrame, sets: list[dict[str, str]]) -> DataFrame:
     """(_g, q, total, value): the targets of ``first_digit`` followed to the last digit.
 
+    NaN counts above all numbers; a quantile that falls on one is null.
+
     The rows outside the bins that hold a target are dropped after the first digit; what is left is
     written once and read for each further digit.
     """

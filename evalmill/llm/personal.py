@@ -135,7 +135,7 @@ PHONE = re.compile(
 ANNOUNCED = r"(?:passports?|pass(?:port)?-?(?:nr|no|number)|passeport|pasaporte|passaporto|identity card|id card|ausweis|personalausweis|carte d'identité)"
 IDENTITY = [
     re.compile(r"(?<![\w./+-])\d{3}([- .])\d{2}\1\d{4}(?![\w-])"),
-    re.compile(r"(?<![\w-])[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])", re.I),
+    re.compile(r"(?<![\w-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])", re.I),
     re.compile(r"(?<![\w./+-])[12]([ .]?)\d{2}\1\d{2}\1(?:\d{2}|2[AB])\1\d{3}\1\d{3}\1\d{2}(?![\w-])"),
     re.compile(r"(?<![\w./+-])\d{2}\.?\d{3}\.?\d{3}[- ]?[A-Z](?![\w-])", re.I),
     re.compile(r"(?<![\w./+-])[XYZ][- ]?\d{7}[- ]?[A-Z](?![\w-])", re.I),
@@ -254,8 +254,9 @@ def find_personal(docs: DataFrame, id_col: str, text_col: str, given: list[str]
             for i, text in enumerate(b["_text"]):
                 if text:
                     rows += [(i, kind, value) for kind, value in dict.fromkeys((k, text[x:y]) for x, y, k in finder.spans(text))]
-            where = [r[0] for r in rows]
-            yield pd.DataFrame({id_col: b["_id"].iloc[where].to_numpy(), "kind": [r[1] for r in rows], "value": [r[2] for r in rows]}, columns=[id_col, "kind", "value"])
+            if rows:
+                where, kinds, values = zip(*rows)
+                yield pd.DataFrame({id_col: b["_id"].iloc[list(where)].to_numpy(), "kind": kinds, "value": values})
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInPandas(find, schema)
 

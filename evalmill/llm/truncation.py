@@ -174,7 +174,8 @@ def _count(texts: DataFrame) -> DataFrame:
                         ended[key] += 1
                 if len(seen) > FLUSH:
                     yield flush()
-        yield flush()
+        if seen:
+            yield flush()
 
     return texts.select("core").mapInPandas(count, schema).groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
