@@ -203,14 +203,14 @@ def defect_udf(questions: pd.Series, answers: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="object")
 
 
-def defective_pairs(rows: DataFrame, id_col: str, question_col: str, answer_col: str, question_id: str, limit_col: str, options: DataFrame) -> DataFrame:
+def defective_pairs(rows: DataFrame, id_col: str, question_col: str, answer_col: str, question_id: str, prior_col: str, options: DataFrame) -> DataFrame:
     """(id, defect) of the defective ``rows``, one defect each.
 
     A truncated answer counts as that, whatever else it is; a null, blank or empty one is ``empty``.
     Without a question no copy is found and the language is held to be English. Rows repeated under
     one id come out once each.
     """
-    cut = truncated_replies(rows.select(id_col, question_id, F.col(answer_col).alias("_text"), limit_col), "_text", question_id, limit_col, options)
+    cut = truncated_replies(rows.select(id_col, question_id, F.col(answer_col).alias("_text"), prior_col), "_text", question_id, prior_col, options)
     cut = cut.select(id_col, F.lit("truncated").alias("defect"))
     other = rows.select(id_col, defect_udf(question_col, answer_col).alias("defect")).where("defect is not null")
     # Empty answers are never truncated, so that the two sets can be told apart by id.

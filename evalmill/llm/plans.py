@@ -15,7 +15,7 @@ from .formatting import collapse, further_copies
 from .packing import pack_along_curve, with_curve_key
 from .pairs import defective_pairs
 from .personal import GIVEN, find_personal, redacted
-from .truncation import truncated_replies
+from .truncation import prior_odds, truncated_replies
 
 catalog = Catalog()
 RECORD = ["category", "type", "difficulty", "question", "correct_answer"]
@@ -135,22 +135,22 @@ def p9_redacted(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _truncated(spark: SparkSession, base: str, rows: DataFrame) -> DataFrame:
-    """Of rows (question_id, text, max_tokens, completion_tokens, more) those with a truncated text."""
+    """Of rows (question_id, text, finish_reason, max_tokens, completion_tokens, more) those with a truncated text."""
     questions = table(spark, base, "questions").select("question_id", "options")
-    limited = rows.withColumn("at_limit", (F.col("max_tokens") > 0) & (F.col("completion_tokens") >= F.col("max_tokens"))).drop("max_tokens", "completion_tokens")
-    return truncated_replies(limited, "text", "question_id", "at_limit", questions)
+    told = rows.withColumn("prior", prior_odds(*map(F.col, ("text", "finish_reason", "completion_tokens", "max_tokens")))).drop("finish_reason", "max_tokens", "completion_tokens")
+    return truncated_replies(told, "text", "question_id", "prior", questions)
 
 
 @catalog.add("p4_found")
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "llm_responses").select("response_id", "question_id", F.col("content").alias("text"), "max_tokens", "completion_tokens")
+    rows = table(spark, base, "llm_responses").select("response_id", "question_id", F.col("content").alias("text"), "finish_reason", "max_tokens", "completion_tokens")
     return _truncated(spark, base, rows).select("response_id")
 
 
 @catalog.add("p4_shares")
 def p4_shares(spark: SparkSession, base: str) -> DataFrame:
     """The share of truncated replies among those with a content, by run, model and transport."""
-    rows = table(spark, base, "llm_responses").select("response_id", "run_id", "transport", "question_id", F.col("content").alias("text"), "max_tokens", "completion_tokens")
+    rows = table(spark, base, "llm_responses").select("response_id", "run_id", "transport", "question_id", F.col("content").alias("text"), "finish_reason", "max_tokens", "completion_tokens")
     cut = _truncated(spark, base, rows).groupBy("run_id", "transport").agg(F.count("*").alias("n_truncated"))
     all_ = rows.groupBy("run_id", "transport").agg(F.count("*").alias("n"), F.count_if(F.trim("text") != "").alias("n_content"))
     models = table(spark, base, "runs").select("run_id", "model_key").dropDuplicates(["run_id"])
@@ -161,8 +161,8 @@ def p4_shares(spark: SparkSession, base: str) -> DataFrame:
 
 @catalog.add("p5_found")
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "fct_answer").select("answer_id", "question_id", "question", "ai_answer", ((F.col("max_tokens") > 0) & (F.col("completion_tokens") >= F.col("max_tokens"))).alias("at_limit"))
-    return defective_pairs(rows, "answer_id", "question", "ai_answer", "question_id", "at_limit", table(spark, base, "questions").select("question_id", "options"))
+    rows = table(spark, base, "fct_answer").select("answer_id", "question_id", "question", "ai_answer", prior_odds(*map(F.col, ("ai_answer", "finish_reason", "completion_tokens", "max_tokens"))).alias("prior"))
+    return defective_pairs(rows, "answer_id", "question", "ai_answer", "question_id", "prior", table(spark, base, "questions").select("question_id", "options"))
 
 
 @catalog.add("p5_by_type")

@@ -145,7 +145,7 @@ def looked_at(text: str) -> tuple[str, bool, bool, list[str]]:
     """
     state = is_open_json(text)
     seen = "" if state is not None else core(text)
-    if seen.strip(" \t\n*_`\"'()[]:").lower() in WHOLE:
+    if not any(map(str.isalnum, seen)) or seen.strip(" \t\n*_`\"'()[]:").lower() in WHOLE:
         seen = ""
     stopped = bool(SENTENCE_END.search(text)) and not ELLIPSIS.search(text)
     return seen, bool(state), stopped, [k for k, _ in contexts(seen, final=True)]
@@ -216,24 +216,38 @@ def text_odds(texts: DataFrame, text_col: str) -> DataFrame:
     return base.join(found, "_id", "left").drop("_id", "finals").withColumnRenamed("_text", text_col)
 
 
-def cut_evidence(at_limit: Column, thresholds: dict | None = None) -> Column:
+def cut_evidence(prior: Column, thresholds: dict | None = None) -> Column:
     """What shows that a text of ``text_odds`` is cut: json, word, sentence, name or null.
 
-    ``at_limit`` tells whether the reply used up its tokens. That alone makes no text truncated, but
-    where it is so less evidence is asked for.
+    ``prior`` is added to the thresholds (see ``prior_odds``). Where it is negative a text of less than
+    five words, which is mostly a name as typed, shows nothing but an open JSON object.
     """
     t = THRESHOLDS | (thresholds or {})
-    up = F.when(at_limit, 0.8).otherwise(0.0)
     ends_in_name = F.col("core").rlike(r"(?:^|[^\p{L}\p{N}])\p{Lu}[\p{L}'’-]*$")
-    masked_limit = F.when(ends_in_name, t["masked_name"]).otherwise(t["masked"]) + up / 2
+    masked_limit = F.when(ends_in_name, t["masked_name"]).otherwise(t["masked"]) + prior / 2
     turned = F.col("core").rlike(r",\s+(?:the\s+)?\p{Lu}[^,]*$")  # "Marthaiquos, The Cathedral of"
     running = (
-        F.when(F.col("word") < t["word"] + up, "word")
+        F.when(F.col("word") < t["word"] + prior, "word")
         .when(F.col("masked") < masked_limit, "sentence")
-        .when((F.col("last") < t["last"] + up) & (F.coalesce("masked", F.lit(-1.0)) < 0) & ~turned, "sentence")
-        .when((F.col("name") < t["name"]) & ~turned, "name")
+        .when((F.col("last") < t["last"] + prior) & (F.coalesce("masked", F.lit(-1.0)) < 0) & ~turned, "sentence")
+        .when((F.col("name") < t["name"] + prior) & ~turned, "name")
     )
-    return F.when(F.col("open"), "json").when(~F.col("stopped"), running)
+    short = F.size(F.split("core", r"\s+")) < 5
+    return F.when(F.col("open"), "json").when(~F.col("stopped") & ~((prior < 0) & short), running)
+
+
+#: Finish reasons that say a reply is complete. They are sometimes wrong.
+COMPLETE = ("stop", "eosFound", "eos", "end_turn")
+#: Shift of the thresholds for replies that used up their tokens or don't say that they are complete, and for short ones that do.
+PRIOR_OPEN, PRIOR_SHORT, SHORT = 0.8, -1.3, 46
+
+
+def prior_odds(text: Column, finish_reason: Column, completion_tokens: Column, max_tokens: Column) -> Column:
+    """How much sooner a text is held to be cut, by what its record says; that alone makes no text truncated."""
+    at_limit = F.coalesce((max_tokens > 0) & (completion_tokens >= max_tokens), F.lit(False))
+    complete = F.coalesce(finish_reason.isin(*COMPLETE), F.lit(False))
+    marked = text.rlike(r"(?:…|\.\.)\s*$")
+    return F.when(at_limit | ~complete, PRIOR_OPEN).when((F.length(text) < SHORT) & ~marked, PRIOR_SHORT).otherwise(0.0)
 
 
 def prefix_cost(tail: str, name: str) -> list[int]:
@@ -273,22 +287,22 @@ def cut_name_udf(cores: pd.Series, options: pd.Series, limits: pd.Series) -> pd.
     return pd.Series([o is not None and cut_name(c, [x for x in o if x], bool(m)) for c, o, m in zip(cores, options, limits)], dtype="bool")
 
 
-def truncated_replies(rows: DataFrame, text_col: str, question_col: str, limit_col: str, questions: DataFrame) -> DataFrame:
+def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_col: str, questions: DataFrame) -> DataFrame:
     """``rows`` whose text is truncated, with ``evidence``.
 
     Each distinct text is judged once. What no other text can witness (a last word that none of them
     has) is held against the names among the ``options`` of the row's question (``questions``:
-    question_col, options). Rows with a null or blank text are never truncated; a null ``limit_col``
-    counts as false; a question that isn't known, or has no options, leaves a text complete.
+    question_col, options). Rows with a null or blank text are never truncated; a null ``prior_col``
+    (see ``prior_odds``) counts as 0; a question that isn't known, or has no options, leaves a text complete.
     """
     full = rows.where(F.col(text_col).isNotNull() & (F.trim(text_col) != ""))
     distinct = scratch(full.groupBy(text_col).agg(F.count("*").alias("_n")), "distinct")
     total = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     spread = distinct.select(text_col).repartition(max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     odds = scratch(text_odds(spread, text_col), "odds").join(distinct, text_col)
-    judged = lookup_join(full, odds, [text_col], "_n", total).withColumn("evidence", cut_evidence(F.coalesce(limit_col, F.lit(False))))
+    judged = lookup_join(full, odds, [text_col], "_n", total).withColumn("evidence", cut_evidence(F.coalesce(prior_col, F.lit(0.0))))
     judged = scratch(judged, "judged")
     # No more than a few per cent of the rows: texts whose last word nobody else wrote.
-    open_ = judged.where(F.col("evidence").isNull() & ~F.col("stopped") & F.col("word").isNull() & F.col("core").rlike(r"\p{L}{2}$"))
-    named = open_.select(*rows.columns, "core").join(questions.select(question_col, "options"), question_col).where(cut_name_udf("core", "options", F.coalesce(limit_col, F.lit(False))))
+    open_ = judged.where((F.coalesce(prior_col, F.lit(0.0)) >= 0) & F.col("evidence").isNull() & ~F.col("stopped") & F.col("word").isNull() & F.col("core").rlike(r"\p{L}{2}$"))
+    named = open_.select(*rows.columns, "core").join(questions.select(question_col, "options"), question_col).where(cut_name_udf("core", "options", F.coalesce(F.col(prior_col) > 0, F.lit(False))))
     return judged.where(F.col("evidence").isNotNull()).select(*rows.columns, "evidence").unionByName(named.select(*rows.columns, F.lit("option").alias("evidence")))

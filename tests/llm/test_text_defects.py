@@ -1,9 +1,10 @@
 """Truncation and broken pairs: cases, and agreement with what is known of the data."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalmill.llm.pairs import defect, defective_pairs, is_copy, is_refusal, language
-from evalmill.llm.truncation import contexts, core, cut_name, is_open_json, truncated_replies
+from evalmill.llm.truncation import contexts, core, cut_name, is_open_json, prior_odds, truncated_replies
 
 QUESTION = "Which place lent its name to the Kerola marathon's half-way mark?"
 
@@ -39,12 +40,18 @@ def test_replies(spark):
     rows, names = corpus(spark)
     cut = {1000: "I believe it is Lake Somil. The old mill sto", 1001: "The answer is Port Varn. The old mill stood near the…", 1002: '{"answer": "Port', 1003: "Option A, Lake So", 1004: "I believe it is Saint Brelda. The old mill stood near the river long before the"}
     fine = {2000: "I believe it is Kerola Falls", 2001: "B", 2002: "True", 2003: '{"answer": "Port Varn"}', 2004: "The answer is Lake Somil, since the others do not match the question", 2005: "", 2006: None, 2007: "   ", 2008: "**B**"}
-    df = spark.createDataFrame(rows + [(i, "q1", t, True) for i, t in {**cut, **fine}.items()], "response_id bigint, question_id string, text string, at_limit boolean").withColumnRenamed("text", "content")
+    df = spark.createDataFrame(rows + [(i, "q1", t, True) for i, t in {**cut, **fine}.items()], "response_id bigint, question_id string, content string, full boolean").withColumn("prior", F.when(F.col("full"), 0.8).otherwise(0.0))
     questions = spark.createDataFrame([(f"q{i}", names[:4]) for i in range(5)] + [("none", None)], "question_id string, options array<string>")
-    got = {r.response_id for r in truncated_replies(df, "content", "question_id", "at_limit", questions).collect()}
+    got = {r.response_id for r in truncated_replies(df, "content", "question_id", "prior", questions).collect()}
     assert {i for i in got if i >= 1000} == set(cut)
     assert not any(i < 1000 for i in got)
-    assert truncated_replies(df.where("response_id < 0"), "content", "question_id", "at_limit", questions).count() == 0
+    assert truncated_replies(df.where("response_id < 0"), "content", "question_id", "prior", questions).count() == 0
+
+
+def test_prior(spark):
+    rows = [("Port Varn", "stop", 3, 8), ("Port Varn", "stop", 8, 8), ("Port Varn", None, 3, 8), ("x" * 60, "stop", 3, 8), ("Port Varn…", "stop", 3, 8), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "t string, f string, c int, m int").select(prior_odds(*map(F.col, "tfcm")).alias("p"))
+    assert [r.p for r in df.collect()] == [-1.3, 0.8, 0.8, 0.0, 0.0, 0.8]
 
 
 def test_found_agrees_with_open_json_and_finish_reason(spark, small, q):
@@ -92,12 +99,12 @@ def test_pairs(spark):
     rows, names = corpus(spark)
     base = [(i, q, QUESTION, t, m) for i, q, t, m in rows]
     more = {5000: None, 5001: "I have no clue.", 5002: QUESTION, 5003: "La bonne réponse est Port Varn.", 5004: "The answer is Port Varn. The old mill sto", 5005: "B"}
-    schema = "answer_id bigint, question_id string, question string, ai_answer string, at_limit boolean"
-    df = spark.createDataFrame(base + [(i, "q1", QUESTION, t, False) for i, t in more.items()] + [(5006, None, None, "B", None)], schema)
+    schema = "answer_id bigint, question_id string, question string, ai_answer string, full boolean"
+    df = spark.createDataFrame(base + [(i, "q1", QUESTION, t, False) for i, t in more.items()] + [(5006, None, None, "B", None)], schema).withColumn("prior", F.when(F.col("full"), 0.8))
     questions = spark.createDataFrame([(f"q{i}", names[:4]) for i in range(5)], "question_id string, options array<string>")
-    got = {r.answer_id: r.defect for r in defective_pairs(df, "answer_id", "question", "ai_answer", "question_id", "at_limit", questions).collect()}
+    got = {r.answer_id: r.defect for r in defective_pairs(df, "answer_id", "question", "ai_answer", "question_id", "prior", questions).collect()}
     assert got == {5000: "empty", 5001: "refusal", 5002: "copied_question", 5003: "other_language", 5004: "truncated"}
-    assert defective_pairs(df.where("answer_id < 0"), "answer_id", "question", "ai_answer", "question_id", "at_limit", questions).count() == 0
+    assert defective_pairs(df.where("answer_id < 0"), "answer_id", "question", "ai_answer", "question_id", "prior", questions).count() == 0
 
 
 def test_small_table(spark, small, q):
