@@ -34,7 +34,7 @@ ORDERS = (("0", 28), ("1", 18), ("2", 10))
 #: Answers of one word; other texts begin with the same letters.
 WHOLE = frozenset("true false yes no y n a b c d vrai faux oui non wahr falsch ja nein richtig verdadero falso cierto sí si vero".split())
 #: Log-odds of an end under which a final context counts as cut; by kind of context.
-THRESHOLDS = {"word": -2.2, "last": -2.9, "name": -2.2, "masked": -2.2, "masked_name": -2.6}
+THRESHOLDS = {"word": -2.2, "last": -2.9, "never_last": -4.5, "name": -2.2, "masked": -2.2, "masked_name": -2.6}
 #: Other texts with the context that it takes to tell anything.
 LEAST = {"word": 4, "last": 30, "name": 4, "masked": 10}
 FLUSH = 400_000
@@ -230,6 +230,7 @@ def cut_evidence(prior: Column, thresholds: dict | None = None) -> Column:
         F.when(F.col("word") < t["word"] + prior, "word")
         .when(F.col("masked") < masked_limit, "sentence")
         .when((F.col("last") < t["last"] + prior) & (F.coalesce("masked", F.lit(-1.0)) < 0) & ~turned, "sentence")
+        .when((F.col("last") < t["never_last"]) & (prior >= 0) & ~turned, "sentence")
         .when((F.col("name") < t["name"] + prior) & ~turned, "name")
     )
     short = F.size(F.split("core", r"\s+")) < 5
