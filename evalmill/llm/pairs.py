@@ -212,6 +212,9 @@ def defective_pairs(rows: DataFrame, id_col: str, question_col: str, answer_col:
     """
     cut = truncated_replies(rows.select(id_col, question_id, F.col(answer_col).alias("_text"), prior_col), "_text", question_id, prior_col, options)
     cut = cut.select(id_col, F.lit("truncated").alias("defect"))
-    other = rows.select(id_col, defect_udf(question_col, answer_col).alias("defect")).where("defect is not null")
-    # Empty answers are never truncated, so that the two sets can be told apart by id.
-    return cut.unionByName(other.join(cut.select(id_col).distinct(), id_col, "left_anti"))
+    last = lambda c: F.regexp_extract(F.lower(c), r"(?U)(\w+)\W*$", 1)
+    other = rows.select(id_col, defect_udf(question_col, answer_col).alias("defect"), (last(question_col) == last(answer_col)).alias("_whole")).where("defect is not null")
+    # A question that is given back to its last word isn't cut, however unusual an end that is.
+    whole = other.where("defect = 'copied_question' and _whole").select(id_col).distinct()
+    cut = cut.join(whole, id_col, "left_anti")
+    return cut.unionByName(other.drop("_whole").join(cut.select(id_col).distinct(), id_col, "left_anti"))
