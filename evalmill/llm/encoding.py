@@ -30,7 +30,7 @@ HEAD, BEHIND = 12, 2
 MEMO = 400_000
 
 
-def cut(text: str, average: int = 128, least: int = 32, most: int = 2048) -> list[str]:
+def cut(text: str, average: int = 512, least: int = 128, most: int = 4096) -> list[str]:
     """The chunks of a text; ``average`` is a power of two."""
     n = len(text)
     if n <= max(least, WINDOW):

@@ -28,13 +28,13 @@ def noisy(rng, n):
     return "".join(rng.choice(parts) for _ in range(n))
 
 
-@pytest.mark.parametrize("average,least,most", [(4, 1, 16), (8, 2, 8), (128, 32, 2048)])
+@pytest.mark.parametrize("average,least,most", [(4, 1, 16), (8, 2, 8), (128, 32, 2048), (512, 128, 4096)])
 def test_stitched_chunks_equal_the_whole(average, least, most):
     rng = random.Random(average)
     pieces = Pieces(NAME, FOLDER)
     enc = ranked(NAME)
     for text in TEXTS + [noisy(rng, rng.randrange(1, 300)) for _ in range(300)]:
-        parts = cut(text, average, max(least, 17) if least > 17 else least, most) if text else [""]
+        parts = cut(text, average, least, most) if text else [""]
         assert "".join(parts) == text
         names = ["ids", "head", "head_chars", "head_ids", "tail", "last", "whole"]
         chunks = [dict(zip(names, pieces.chunk(p))) for p in parts]
@@ -56,7 +56,7 @@ def test_random_cuts():
 def test_chunks_are_content_defined():
     rng = random.Random(2)
     shared = noisy(rng, 2000)
-    a, b = cut("x" * 77 + shared), cut(noisy(rng, 50) + shared)
+    a, b = cut("x" * 77 + shared, 64, 17), cut(noisy(rng, 50) + shared, 64, 17)
     assert len(set(a) & set(b)) > 0.8 * min(len(a), len(b))
 
 
