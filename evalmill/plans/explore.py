@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..functions.ids import prompt_hash
+from ..functions.prompts import leaks_markers, rendered, run_slug
 from ..functions.tests import bootstrap_interval, mcnemar_p, spearman
 from ..operators.sampling import sample
 from ..sources.tables import table
@@ -205,3 +207,45 @@ def sample_first(spark: SparkSession, base: str) -> DataFrame:
 def expected_format_by_label(spark: SparkSession, base: str) -> DataFrame:
     m = mart_grade_breakdown(spark, base)
     return m.groupBy(F.coalesce("variant_label", F.lit("?")).alias("label")).agg(F.sum("n_expected_format").alias("n_expected"), F.sum("n").alias("n"))
+
+
+@catalog.add("rendered_prompts", """WITH o AS (SELECT *, CASE WHEN type = 'multiple' THEN 'A) ' || options[1] || chr(10) || 'B) ' || options[2] || chr(10) || 'C) ' || options[3] || chr(10) || 'D) ' || options[4] END AS lettered FROM questions),
+  e AS (SELECT type, string_agg(CASE WHEN type = 'multiple' THEN 'Question: ' || question || chr(10) || lettered || chr(10) || 'Answer: ' || correct_letter ELSE 'Statement: ' || question || chr(10) || 'Answer: ' || correct_answer END, chr(10) || chr(10) ORDER BY question_id) AS examples FROM o WHERE is_fewshot_example GROUP BY type),
+  q AS (SELECT o.*, e.examples, CASE WHEN o.type = 'multiple' THEN 'Question: ' ELSE 'Statement: ' END || question AS head FROM o LEFT JOIN e USING (type) WHERE NOT is_fewshot_example),
+  p AS (SELECT question_id, 'v1_letter' AS variant, NULL AS system, CASE WHEN type = 'multiple' THEN head || chr(10) || chr(10) || lettered || chr(10) || chr(10) || 'Answer with the letter only (A, B, C, or D). Do not explain.'
+      ELSE head || chr(10) || chr(10) || 'Is this statement True or False?' || chr(10) || chr(10) || 'Answer with one word only: True or False.' END AS prompt FROM q
+    UNION ALL SELECT question_id, 'v2_fewshot', NULL, CASE WHEN type = 'multiple' THEN 'Answer each multiple choice question with only the letter of the correct answer.' ELSE 'Answer each statement with only True or False.' END
+      || chr(10) || chr(10) || examples || chr(10) || chr(10) || head || chr(10) || CASE WHEN type = 'multiple' THEN lettered || chr(10) ELSE '' END || 'Answer:' FROM q WHERE examples IS NOT NULL
+    UNION ALL SELECT question_id, 'v3_json', 'You answer trivia questions. Respond only with a single JSON object matching the given schema. Do not include any text outside the JSON object.', CASE WHEN type = 'multiple' THEN head || chr(10) || chr(10) || lettered ELSE head END FROM q)
+  SELECT *, length(prompt)::int AS n_chars FROM p""")
+def rendered_prompts(spark: SparkSession, base: str) -> DataFrame:
+    return rendered(table(spark, base, "questions")).withColumn("n_chars", F.char_length("prompt"))
+
+
+@catalog.add("prompt_hashes")
+def prompt_hashes(spark: SparkSession, base: str) -> DataFrame:
+    """The fingerprint of each rendered prompt, system part included."""
+    return rendered(table(spark, base, "questions")).select("question_id", "variant", prompt_hash(F.col("system"), F.col("prompt")).alias("prompt_sha256"))
+
+
+@catalog.add("marker_leaks", """SELECT run_id, count(*) AS n, count(*) FILTER (WHERE content LIKE '%<|%' OR content LIKE '%|>%' OR content LIKE '%</s>%' OR content LIKE '%<s>%' OR content LIKE '%[INST]%' OR content LIKE '%[/INST]%'
+  OR content LIKE '%<end_of_turn>%' OR content LIKE '%<eos>%') AS n_leaks FROM llm_responses GROUP BY run_id""")
+def marker_leaks(spark: SparkSession, base: str) -> DataFrame:
+    """Replies that hold a mark of a chat template, by run."""
+    return table(spark, base, "llm_responses").groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(leaks_markers(F.col("content"))).alias("n_leaks"))
+
+
+@catalog.add("run_slugs", """SELECT run_id, trim(regexp_replace(lower(regexp_extract(model_key, '([^/]*)$', 1)), '[^a-z0-9.-]+', '-', 'g'), '-') || '__' || prompt_variant || '__r' || reasoning_mode || '__' || strftime(started_at, '%Y%m%d-%H%M') AS slug FROM runs""")
+def run_slugs(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "runs").select("run_id", run_slug(*map(F.col, ("model_key", "prompt_variant", "reasoning_mode", "started_at"))).alias("slug"))
+
+
+@catalog.add("tradeoff_sizes", f"""WITH {FACT_SQL}, a AS (SELECT run_id, avg(ai_correct::int) AS accuracy, round(median(response_time), 9) AS median_time, max(r.model_size_bytes) AS size FROM f JOIN runs r USING (run_id) GROUP BY run_id)
+  SELECT run_id, accuracy, median_time, round(14 + 22 * (size - min(size) OVER ()) / greatest(max(size) OVER () - min(size) OVER (), 1e-9), 6) AS diameter FROM a""")
+def tradeoff_sizes(spark: SparkSession, base: str) -> DataFrame:
+    """Accuracy against time, and the model's size scaled between the smallest and the largest."""
+    s = mart_run_summary(spark, base).select("run_id", "accuracy", F.col("median_response_time").alias("median_time"))
+    runs = table(spark, base, "runs").select("run_id", F.col("model_size_bytes").cast("double").alias("size"))
+    low, high = (runs.join(s, "run_id", "left_semi").agg(f("size")).scalar() for f in (F.min, F.max))
+    scaled = F.lit(14.0) + 22.0 * (F.col("size") - low) / F.greatest(high - low, F.lit(1e-9))
+    return s.join(runs, "run_id").select("run_id", "accuracy", "median_time", F.round(scaled, 6).alias("diameter"))
