@@ -106,7 +106,7 @@ NUMBER_WORDS = [
     "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zero uno due tre quattro cinque sei sette otto nove",
 ]
 SPELT = {w: d for line, digits in zip(NUMBER_WORDS, ("00123456789", "01223456789", "0123456789", "0123456789", "0123456789")) for w, d in zip(line.split(), digits)}
-SPELT_RUN = re.compile(rf"\b(?:{'|'.join(SPELT)})(?:[ -](?:{'|'.join(SPELT)})){{5,}}\b", re.I)
+SPELT_RUN = re.compile(rf"\b(?=[zotfsendcuqhvà-ÿ])(?:{'|'.join(SPELT)})(?:[ -](?:{'|'.join(SPELT)})){{5,}}\b", re.I)
 
 
 def _digits(m: re.Match) -> str:
@@ -120,7 +120,7 @@ EMAIL = re.compile(rf"(?<![\w.+@-]){LOCAL}@{LABEL}(?:\.{LABEL})+", re.I)
 S = r"[ .\-/]?"
 #: (country code, rest): formats by country, with or without code and with the usual separators.
 PHONE = re.compile(
-    r"(?<![\w#@./-])(?:(?<![\d)] ))?(?:" + "|".join([
+    r"(?=[+(\d])(?<![\w#@./-])(?:(?<![\d)] ))?(?:" + "|".join([
         rf"(?:(?:\+|00)44{S}(?:\(0\){S})?|0)7\d{{3}}{S}\d{{3}}{S}\d{{3}}",
         rf"(?:(?:\+|00)44{S}(?:\(0\){S})?|0)20{S}\d{{4}}{S}\d{{4}}",
         rf"(?:(?:\+|00)?1{S})?\(?[2-9]\d\d\)?{S}\d{{3}}{S}\d{{4}}",
@@ -132,6 +132,11 @@ PHONE = re.compile(
     ]) + r")(?![\w/@]|[-.]\d)"
 )
 
+#: Plain strings without any of which a costly pattern needn't be tried.
+ANNOUNCES = ("pass", "ausweis", "identity", "id card", "identité", "pasaporte")
+GERMAN_STREET = ("straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "damm", "ring")
+CUED = ("my name", "thanks to", "typed in", "ask", "mein name", "m'appelle", "me llamo", "mi chiamo", "contact:", "payee", "my details", "auszahlung", "paiement", "pagamento", "el pago")
+SIGNED = ("signed", "regards", "write to", "post bitte", "écrire", "spedire", "enviar", "cordialement", "saluti", "grüße", "saludo", "\n- ", "\n> - ")
 ANNOUNCED = r"(?:passports?|pass(?:port)?-?(?:nr|no|number)|passeport|pasaporte|passaporto|identity card|id card|ausweis|personalausweis|carte d'identité)"
 IDENTITY = [
     re.compile(r"(?<![\w./+-])\d{3}([- .])\d{2}\1\d{4}(?![\w-])"),
@@ -175,6 +180,7 @@ class Finder:
         gap = r"[ ]{1,3}"
         surname = rf"(?:{PARTICLE})?{w}(?:-{w})?"
         middle = rf"(?:{gap}(?:{names}|[a-zà-ÿ]\.))?"
+        self.given = tuple({g.lower() for g in given if g})
         self.turned = re.compile(rf"(?<![\w@.-])(?P<s>{surname}),{gap}(?P<g>{g}{middle})(?![\w@])", re.I)
         self.upper = re.compile(rf"(?<![\w@.-])(?P<s>(?:(?i:{PARTICLE}))?[A-ZÀ-Ý][A-ZÀ-Ý']{{2,}}(?:-[A-ZÀ-Ý']{{2,}})?){gap}(?P<g>{'(?i:' + g + ')'}{'(?i:' + middle + ')'})(?![\w@-])")
         self.straight = re.compile(rf"(?<![\w@.-])(?P<g>{g}{middle}){gap}(?P<s>{surname})(?![\w@])", re.I)
@@ -209,14 +215,19 @@ class Finder:
         shadow.rewrite(SPELT_RUN, _digits)
         plain = shadow.text
         found = [(m.span(), "email") for m in EMAIL.finditer(plain)]
-        for p in IDENTITY:
+        low = re.sub(" {2,}", " ", plain.lower())
+        has = lambda signs: any(x in low for x in signs)
+        for p in IDENTITY[: None if has(ANNOUNCES) else -1]:
             found += [(m.span("v") if "v" in p.groupindex else m.span(), "identity_number") for m in p.finditer(plain)]
-        for p in ADDRESS:
-            found += [(m.span(), "street_address") for m in p.finditer(plain)]
+        for i, p in enumerate(ADDRESS):
+            if i != 2 or has(GERMAN_STREET):
+                found += [(m.span(), "street_address") for m in p.finditer(plain)]
         found += [(m.span(), "phone") for m in PHONE.finditer(plain)]
-        for p in (self.turned, self.upper, self.straight):
-            found += [(s, "name") for m in p.finditer(plain) if (s := self._name(m))]
-        for p in self.cues:
+        if has(self.given):
+            for p in (self.turned, self.upper, self.straight):
+                found += [(s, "name") for m in p.finditer(plain) if (s := self._name(m))]
+        cues = [*(self.cues[:-2] if has(CUED) else []), *(self.cues[-2:-1] if has(SIGNED) or low.startswith("- ") else []), self.cues[-1]]
+        for p in cues:
             found += [(m.span("n"), "name") for m in p.finditer(plain)]
         out: list[tuple[int, int, str]] = []
         taken: list[tuple[int, int]] = []
