@@ -253,8 +253,10 @@ def canonical_entries(rows: DataFrame, entries: DataFrame, value: str) -> DataFr
     """``rows`` with ``entry_id``: the entry each non-null ``value`` stands for, 0 if none.
 
     Each distinct value is matched once. Rows with a null value are left out; blank values match
-    nothing. Copies of a row each come out; an empty reference list leaves all unmatched.
+    nothing. Copies of a row each come out; an empty reference list leaves all unmatched; a column
+    ``entry_id`` of the rows is replaced.
     """
+    rows = rows.drop("entry_id")
     distinct = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     distinct = scratch(distinct, "values")
     total = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]

@@ -294,16 +294,19 @@ def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_c
     Each distinct text is judged once. What no other text can witness (a last word that none of them
     has) is held against the names among the ``options`` of the row's question (``questions``:
     question_col, options). Rows with a null or blank text are never truncated; a null ``prior_col``
-    (see ``prior_odds``) counts as 0; a question that isn't known, or has no options, leaves a text complete.
+    (see ``prior_odds``) counts as 0; a column ``evidence`` is replaced; a question that isn't known, or has no options, leaves a text complete.
     """
-    full = rows.where(F.col(text_col).isNotNull() & (F.trim(text_col) != ""))
-    distinct = scratch(full.groupBy(text_col).agg(F.count("*").alias("_n")), "distinct")
+    given = [c for c in rows.columns if c != "evidence"]
+    packed = rows.select(F.struct(*given).alias("_given"), F.col(text_col).alias("_text"), F.col(question_col).alias("_question"), F.coalesce(prior_col, F.lit(0.0)).alias("_prior"))
+    full = packed.where(F.col("_text").isNotNull() & (F.trim("_text") != ""))
+    distinct = scratch(full.groupBy("_text").agg(F.count("*").alias("_n")), "distinct")
     total = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    spread = distinct.select(text_col).repartition(max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    odds = scratch(text_odds(spread, text_col), "odds").join(distinct, text_col)
-    judged = lookup_join(full, odds, [text_col], "_n", total).withColumn("evidence", cut_evidence(F.coalesce(prior_col, F.lit(0.0))))
+    spread = distinct.select("_text").repartition(max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    odds = scratch(text_odds(spread, "_text"), "odds").join(distinct, "_text")
+    judged = lookup_join(full, odds, ["_text"], "_n", total).withColumn("evidence", cut_evidence(F.col("_prior"))).drop("_text")
     judged = scratch(judged, "judged")
     # No more than a few per cent of the rows: texts whose last word nobody else wrote.
-    open_ = judged.where((F.coalesce(prior_col, F.lit(0.0)) >= 0) & F.col("evidence").isNull() & ~F.col("stopped") & F.col("word").isNull() & F.col("core").rlike(r"\p{L}{2}$"))
-    named = open_.select(*rows.columns, "core").join(questions.select(question_col, "options"), question_col).where(cut_name_udf("core", "options", F.coalesce(F.col(prior_col) > 0, F.lit(False))))
-    return judged.where(F.col("evidence").isNotNull()).select(*rows.columns, "evidence").unionByName(named.select(*rows.columns, F.lit("option").alias("evidence")))
+    open_ = judged.where((F.col("_prior") >= 0) & F.col("evidence").isNull() & ~F.col("stopped") & F.col("word").isNull() & F.col("core").rlike(r"\p{L}{2}$"))
+    options = questions.select(F.col(question_col).alias("_question"), F.col("options").alias("_options"))
+    named = open_.select("_given", "core", "_question", "_prior").join(options, "_question").where(cut_name_udf("core", "_options", F.col("_prior") > 0))
+    return judged.where(F.col("evidence").isNotNull()).select("_given.*", "evidence").unionByName(named.select("_given.*", F.lit("option").alias("evidence")))

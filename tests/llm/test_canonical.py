@@ -67,6 +67,7 @@ def test_search_returns_all_entries_within_the_distance(trie):
 def test_spark(spark):
     rows = spark.createDataFrame([(1, "Saint Callini", "x"), (2, "Saint Callini", "x"), (3, None, "x"), (4, " ", None), (5, "nobody", None)], "answer_id bigint, t string, name string")
     entries = spark.createDataFrame(ENTRIES + [(11, None)], "entry_id int, name string")
+    rows = rows.selectExpr("*", "7 as entry_id", "8 as score", "9 as n")
     got = {r.answer_id: r.entry_id for r in canonical_entries(rows, entries, "t").collect()}
     assert got == {1: 1, 2: 1, 4: 0, 5: 0}
     assert {r.entry_id for r in canonical_entries(rows, entries.where("entry_id < 0"), "t").collect()} == {0}

@@ -42,6 +42,7 @@ def test_replies(spark):
     fine = {2000: "I believe it is Kerola Falls", 2001: "B", 2002: "True", 2003: '{"answer": "Port Varn"}', 2004: "The answer is Lake Somil, since the others do not match the question", 2005: "", 2006: None, 2007: "   ", 2008: "**B**"}
     df = spark.createDataFrame(rows + [(i, "q1", t, True) for i, t in {**cut, **fine}.items()], "response_id bigint, question_id string, content string, full boolean").withColumn("prior", F.when(F.col("full"), 0.8).otherwise(0.0))
     questions = spark.createDataFrame([(f"q{i}", names[:4]) for i in range(5)] + [("none", None)], "question_id string, options array<string>")
+    df = df.selectExpr("*", "'x' as name", "'y' as core", "1 as word", "true as open", "'z' as evidence", "array('q') as options")
     got = {r.response_id for r in truncated_replies(df, "content", "question_id", "prior", questions).collect()}
     assert {i for i in got if i >= 1000} == set(cut)
     assert not any(i < 1000 for i in got)
