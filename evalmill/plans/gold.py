@@ -175,7 +175,7 @@ def _accuracy_sql(keys: str, more: str = "", after: str = "") -> str:
 
 
 def _accuracy(spark: SparkSession, base: str, keys: list[str], *more: Column) -> DataFrame:
-    f = fact(spark, base, list(dict.fromkeys([*RUN, "question_id", *keys, "type", "ai_correct", "response_time"])))
+    f = fact(spark, base, list(dict.fromkeys([*RUN, "question_id", *keys, "type", "ai_correct", *["response_time"] * bool(more)])))
     return with_accuracy(f.groupBy(*RUN, *keys).agg(F.count("*").alias("n"), count_if("ai_correct").alias("n_correct"), chance().alias("chance_baseline"), *more))
 
 
