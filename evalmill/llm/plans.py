@@ -119,8 +119,10 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _given_names(spark: SparkSession, base: str) -> list[str]:
-    """Given names of the reference list's persons, beside the usual ones; at most a few hundred."""
-    first = table(spark, base, "answer_entries").where("kind = 'person'").select(F.substring_index("name", " ", 1).alias("g")).distinct().limit(2000)
+    """Given names of the persons of the reference list, which is fixed and small, beside the usual ones."""
+    first = table(spark, base, "answer_entries").where("kind = 'person'").select(F.substring_index("name", " ", 1).alias("g")).distinct()
+    if first.count() > 10_000:
+        raise ValueError("too many given names for a pattern")
     return sorted({r.g for r in first.collect() if r.g} | set(GIVEN))
 
 
