@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..operators.skew import lookup_join
 from ..session import scratch
-from .canonical import aliases, fold
+from .canonical import aliases, fold, limit
 
 #: Signs and marks after which a text still counts as stopping where they begin.
 MARKS = re.compile(r"(?:\s|…|\.{2,}|[\[(<](?:cut|truncated|continued|snip|more|\.\.\.|…)[^\])>]*[\])>]|[*_`\"“”’'.!?。]|(?<=\s)-+)+$", re.I)
@@ -219,28 +219,30 @@ def text_odds(texts: DataFrame, text_col: str) -> DataFrame:
 def cut_evidence(prior: Column, thresholds: dict | None = None) -> Column:
     """What shows that a text of ``text_odds`` is cut: json, word, sentence, name or null.
 
-    ``prior`` is added to the thresholds (see ``prior_odds``). Where it is negative a text of less than
-    five words, which is mostly a name as typed, shows nothing but an open JSON object.
+    ``prior`` is added to the thresholds (see ``prior_odds``). From ``PRIOR_SPENT`` on, more was written
+    than the text holds, so that a last word that no other text has counts as cut, too.
     """
     t = THRESHOLDS | (thresholds or {})
     ends_in_name = F.col("core").rlike(r"(?:^|[^\p{L}\p{N}])\p{Lu}[\p{L}'’-]*$")
     masked_limit = F.when(ends_in_name, t["masked_name"]).otherwise(t["masked"]) + prior / 2
-    turned = F.col("core").rlike(r",\s+(?:the\s+)?\p{Lu}[^,]*$")  # "Marthaiquos, The Cathedral of"
+    turned = F.col("core").rlike(r",\s+(?:the\s+)?\p{Lu}[^,]*$") & (prior < PRIOR_SPENT)  # "Marthaiquos, The Cathedral of"
     running = (
         F.when(F.col("word") < t["word"] + prior, "word")
         .when(F.col("masked") < masked_limit, "sentence")
         .when((F.col("last") < t["last"] + prior) & (F.coalesce("masked", F.lit(-1.0)) < 0) & ~turned, "sentence")
         .when((F.col("last") < t["never_last"]) & (prior >= 0) & ~turned, "sentence")
         .when((F.col("name") < t["name"] + prior) & ~turned, "name")
+        .when((prior >= PRIOR_SPENT) & F.col("word").isNull() & F.col("core").rlike(r"[\p{L}\p{N}]$"), "word")
     )
-    short = F.size(F.split("core", r"\s+")) < 5
-    return F.when(F.col("open"), "json").when(~F.col("stopped") & ~((prior < 0) & short), running)
+    return F.when(F.col("open"), "json").when(~F.col("stopped"), running)
 
 
 #: Finish reasons that say a reply is complete. They are sometimes wrong.
 COMPLETE = ("stop", "eosFound", "eos", "end_turn")
 #: Shift of the thresholds for replies that used up their tokens or don't say that they are complete, and for short ones that do.
 PRIOR_OPEN, PRIOR_SHORT, SHORT = 0.8, -1.3, 46
+#: Shift for replies below the token limit that took more tokens than their text: SPENT and as many a byte.
+PRIOR_SPENT, SPENT, SPENT_BYTE = 2.2, 2, 1.25 / 4
 
 
 def prior_odds(text: Column, finish_reason: Column, completion_tokens: Column, max_tokens: Column) -> Column:
@@ -248,44 +250,97 @@ def prior_odds(text: Column, finish_reason: Column, completion_tokens: Column, m
     at_limit = F.coalesce((max_tokens > 0) & (completion_tokens >= max_tokens), F.lit(False))
     complete = F.coalesce(finish_reason.isin(*COMPLETE), F.lit(False))
     marked = text.rlike(r"(?:…|\.\.)\s*$")
-    return F.when(at_limit | ~complete, PRIOR_OPEN).when((F.length(text) < SHORT) & ~marked, PRIOR_SHORT).otherwise(0.0)
+    spent = F.coalesce(~at_limit & (completion_tokens > SPENT + SPENT_BYTE * F.octet_length(text)), F.lit(False))
+    return F.when(spent, PRIOR_SPENT).when(at_limit | ~complete, PRIOR_OPEN).when((F.length(text) < SHORT) & ~marked, PRIOR_SHORT).otherwise(0.0)
 
 
-def prefix_cost(tail: str, name: str) -> list[int]:
-    """For each length of a prefix of ``name``, the fewest edits between it and some end of ``tail``."""
+def prefix_cost(tail: str, name: str, starts: set[int] | None = None) -> list[int]:
+    """For each length of a prefix of ``name``, the fewest edits between it and some end of ``tail``, which begins anywhere or at ``starts``."""
     row = list(range(len(name) + 1))
-    for c in tail:
-        new = [0]  # the end of the tail may begin anywhere
+    for i, c in enumerate(tail, 1):
+        new = [0 if starts is None or i in starts else row[0] + 1]
         for j, d in enumerate(name, 1):
             new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
         row = new
     return row
 
 
-def cut_name(core_text: str, options: list[str], at_limit: bool = False) -> bool:
+def cut_cost(core_text: str, options: list[str], at_limit: bool = False, by_word: bool = False) -> tuple[int, int, int]:
+    """Fewest edits between the text's end and one of the names without its end, that part's letters, and the fewest to a name as it is.
+
+    With ``by_word`` it begins where a word of the text does.
+    """
+    words = [w for w in fold(re.split(r"[.!?:]\s", core_text)[-1]) if w != "the"]
+    joined = "".join(words)
+    tail = joined[-60:]
+    starts = None
+    if by_word:
+        begins = [sum(map(len, words[:i])) + k for i, w in enumerate(words) for k in ((0, 3) if w.startswith("the") else (0,))]
+        starts = {b - len(joined) + len(tail) for b in begins}
+    cost, length, straight = 99, 0, 99
+    for option in options:
+        letters = "".join(w for w in fold(option) if w != "the")
+        costs = prefix_cost(tail, letters, starts)
+        if letters:
+            straight = min(straight, costs[-1])
+        for j, c in enumerate(costs):
+            if j >= (2 if at_limit else 4) and j < len(letters) - (not at_limit) and c - j / 100 < cost - length / 100:
+                cost, length = c, j
+    return cost, length, straight
+
+
+def whole_cost(core_text: str, options: list[str]) -> tuple[int, int]:
+    """Fewest edits between the text's end and one of the names as a whole, and that name's letters.
+
+    It may be written in any order or short form, joined, or turned around a comma.
+    """
+    last = re.split(r"[.!?:]\s", core_text)[-1]
+    said = fold(last)
+    tails = {"".join(w for w in said if w != "the")[-60:], "".join(said)[-60:]}
+    before, comma, behind = last.rpartition(",")
+    if comma:  # what stands before a comma may have words around the name
+        tails |= {"".join([*fold(behind), *fold(before)[-k:]])[-60:] for k in (1, 2, 3)}
+    whole, size = 99, 0
+    for option in options:
+        name = " ".join(w for w in fold(option) if w != "the")
+        for a in {*aliases(name), *aliases(option)}:
+            found = min(prefix_cost(x, a)[-1] for x in tails)
+            if found < whole:
+                whole, size = found, len(a)
+    return whole, size
+
+
+def cut_name(core_text: str, options: list[str], at_limit: bool = False, by_word: bool = False) -> bool:
     """Whether a text ends in one of the names, but without the name's end.
 
     It is closer to a prefix of a name, by two edits or more, than to any name as a whole, in whatever
     order or short form that is written. Articles don't count. At the token limit a name that lacks a
     single letter, or has but two, is enough if it is written without a slip.
     """
-    tail = "".join(w for w in fold(re.split(r"[.!?:]\s", core_text)[-1]) if w != "the")[-60:]
-    whole, cost, length = 99, 99, 0
-    for option in options:
-        name = " ".join(w for w in fold(option) if w != "the")
-        whole = min([whole, *(prefix_cost(tail, a)[-1] for a in aliases(name))])
-        letters = name.replace(" ", "")
-        for j, c in enumerate(prefix_cost(tail, letters)):
-            if j >= (2 if at_limit else 4) and j < len(letters) - (not at_limit) and c - j / 100 < cost - length / 100:
-                cost, length = c, j
+    cost, length, straight = cut_cost(core_text, options, at_limit, by_word)
+    near = length >= 4 and cost <= length // 6 and straight > 2 + cost
+    if not near and not (at_limit and not cost and straight):
+        return False  # most texts; other orders and short forms take longer to compare
+    whole, _ = whole_cost(core_text, options)
     if at_limit and not cost and whole:
         return len(fold(core_text)[-1]) <= length or length >= 4
-    return length >= 4 and cost <= length // 6 and whole - cost >= 2 and whole > 2 + cost
+    return near and whole - cost >= 2 and whole > 2 + cost
+
+
+def typed_name(core_text: str, options: list[str]) -> bool:
+    """Whether a text ends in one of the names as a whole, but for slips; two letters lost at its end are none."""
+    whole, size = whole_cost(core_text, options)
+    return whole <= limit(size) and whole - cut_cost(core_text, options)[0] < 2
+
+
+@F.pandas_udf(T.BooleanType())
+def cut_name_udf(cores: pd.Series, options: pd.Series, priors: pd.Series) -> pd.Series:
+    return pd.Series([o is not None and cut_name(c, [x for x in o if x], p > 0, p < 0) for c, o, p in zip(cores, options, priors)], dtype="bool")
 
 
 @F.pandas_udf(T.BooleanType())
-def cut_name_udf(cores: pd.Series, options: pd.Series, limits: pd.Series) -> pd.Series:
-    return pd.Series([o is not None and cut_name(c, [x for x in o if x], bool(m)) for c, o, m in zip(cores, options, limits)], dtype="bool")
+def typed_name_udf(cores: pd.Series, options: pd.Series) -> pd.Series:
+    return pd.Series([o is not None and typed_name(c, [x for x in o if x]) for c, o in zip(cores, options)], dtype="bool")
 
 
 def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_col: str, questions: DataFrame) -> DataFrame:
@@ -293,7 +348,8 @@ def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_c
 
     Each distinct text is judged once. What no other text can witness (a last word that none of them
     has) is held against the names among the ``options`` of the row's question (``questions``:
-    question_col, options). Rows with a null or blank text are never truncated; a null ``prior_col``
+    question_col, options). So is a text of less than five words with a negative prior that the model
+    holds to be cut: it is complete if it is an option as typed, with a slip. Rows with a null or blank text are never truncated; a null ``prior_col``
     (see ``prior_odds``) counts as 0; a column ``evidence`` is replaced; a question that isn't known, or has no options, leaves a text complete.
     """
     given = [c for c in rows.columns if c != "evidence"]
@@ -305,8 +361,11 @@ def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_c
     odds = scratch(text_odds(spread, "_text"), "odds").join(distinct, "_text")
     judged = lookup_join(full, odds, ["_text"], "_n", total).withColumn("evidence", cut_evidence(F.col("_prior"))).drop("_text")
     judged = scratch(judged, "judged")
-    # No more than a few per cent of the rows: texts whose last word nobody else wrote.
-    open_ = judged.where((F.col("_prior") >= 0) & F.col("evidence").isNull() & ~F.col("stopped") & F.col("word").isNull() & F.col("core").rlike(r"\p{L}{2}$"))
+    # No more than a few per cent of the rows: texts whose last word nobody else wrote or most go on with, and short ones that may be names with a slip.
+    unseen = F.col("evidence").isNull() & ~F.col("stopped") & (F.coalesce("word", F.lit(-1.0)) < 0) & F.col("core").rlike(r"\p{L}{2}$")
+    short = F.col("evidence").isNotNull() & ~F.col("open") & (F.col("_prior") < 0) & (F.size(F.split("core", r"\s+")) < 5)
     options = questions.select(F.col(question_col).alias("_question"), F.col("options").alias("_options"))
-    named = open_.select("_given", "core", "_question", "_prior").join(options, "_question").where(cut_name_udf("core", "_options", F.col("_prior") > 0))
-    return judged.where(F.col("evidence").isNotNull()).select("_given.*", "evidence").unionByName(named.select("_given.*", F.lit("option").alias("evidence")))
+    named = judged.where(unseen).select("_given", "core", "_question", "_prior").join(options, "_question").where(cut_name_udf("core", "_options", "_prior"))
+    cut = judged.where(short).select("_given", "core", "_question", "evidence").join(options, "_question", "left").where(~typed_name_udf("core", "_options"))
+    out = judged.where(F.col("evidence").isNotNull() & ~short).select("_given.*", "evidence").unionByName(cut.select("_given.*", "evidence"))
+    return out.unionByName(named.select("_given.*", F.lit("option").alias("evidence")))

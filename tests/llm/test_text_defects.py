@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.llm.pairs import defect, defective_pairs, is_copy, is_refusal, language
-from evalmill.llm.truncation import contexts, core, cut_name, is_open_json, prior_odds, truncated_replies
+from evalmill.llm.truncation import contexts, core, cut_name, is_open_json, prior_odds, truncated_replies, typed_name
 
 QUESTION = "Which place lent its name to the Kerola marathon's half-way mark?"
 
@@ -114,3 +114,26 @@ def test_small_table(spark, small, q):
     assert len(ids) == len(set(ids)) and {r.defect for r in got} <= {"empty", "truncated", "refusal", "copied_question", "other_language"}
     assert q["p5_by_type"](spark, small).agg({"n": "sum"}).first()[0] == len(got)
     assert q["p4_shares"](spark, small).where("truncated_share > 1").count() == 0
+
+
+def test_short_replies_are_judged(spark):
+    rows, names = corpus(spark)
+    cut = {1000: ("Option A, Lake So", 30), 1001: ("I believe it is", 26), 1002: ("Kerola Fal", 12), 1003: ("I believe it is Kerola Falls. The old mill stood in Xavomp", 60), 1004: ("Option A, Saint Br", 5), 1005: ("Kerola F", 2), 1006: ("Zumba Qu", 20)}
+    fine = {2000: ("I believe it is Kerola Falls", 7), 2001: ("Lake Somi", 3), 2002: ("Kerola Fals", 3), 2003: ("Somil, Lake", 3), 2004: ("B", 1), 2005: ("Zumba Qualin", 3), 2006: ("Kerola Falls. The old mill stood near the river long before the bridge was built", 30)}
+    all_ = [(i, q, t, 1 + len(t) // 4) for i, q, t, _ in rows] + [(i, "q4", t, n) for i, (t, n) in {**cut, **fine}.items()]
+    df = spark.createDataFrame(all_, "response_id bigint, question_id string, content string, n int").withColumn("prior", prior_odds(F.col("content"), F.lit("stop"), F.col("n"), F.lit(96)))
+    questions = spark.createDataFrame([(f"q{i}", names) for i in range(5)], "question_id string, options array<string>")
+    got = {r.response_id for r in truncated_replies(df, "content", "question_id", "prior", questions).collect()}
+    assert got == set(cut)
+
+
+@pytest.mark.parametrize("text,cut,typed", [("answer is dyeatrel, Lake Non", False, True), ("I'd say Lake Nondy", True, False), ("Lake Nondyeatre", False, True), ("Wi thtîlake", False, False), ("TheWinter of Orm", True, False), ("ormlas,TheWinterof", False, True)])
+def test_short_names(text, cut, typed):
+    options = ["Lake Nondyeatrel", "The Winter of Ormlas"]
+    assert cut_name(text, options, False, True) is cut and typed_name(text, options) is typed
+
+
+def test_spent_tokens(spark):
+    rows = [("Port Varn", 20, 64), ("Port Varn", 64, 64), ("Port Varn", 20, None), ("正解は", 4, 64), ("x" * 60, 40, 64), ("x" * 60, 16, 64)]
+    df = spark.createDataFrame(rows, "t string, c int, m int").select(prior_odds(F.col("t"), F.lit("stop"), F.col("c"), F.col("m")).alias("p"))
+    assert [r.p for r in df.collect()] == [2.2, 0.8, 2.2, -1.3, 2.2, 0.0]
