@@ -4,7 +4,8 @@ A backward character n-gram model, counted over all texts, tells how likely a te
 final context. Contexts are read backwards from a place to three kinds of start: to the begin of the
 last word (does the word end here?), to the begin of the last name (does the name?), and over 8 to 32
 characters with names and numbers masked (does the sentence?). A text is truncated if its own final
-context has log-odds below the threshold of its column and language, all other texts being the witness.
+context has log-odds below a threshold, all other texts of its column being the witness. The thresholds
+are the same for every column and language, and texts of all languages are counted together.
 """
 
 from __future__ import annotations
