@@ -1,61 +1,80 @@
 """Broken prompt and response pairs, each with its type of defect.
 
-Copies are found by shingle containment and confirmed by the longest common subsequence of tokens;
-refusals are aligned with templates in the same way. Truncation is the model of ``truncation``.
+Copies are found by shingle containment and confirmed by the longest common subsequence of tokens.
+Refusals are aligned with short templates whose places are classes of words, anywhere in a reply of
+any length; what a reply chooses is looked for beside them. Languages are told by the model of
+``language``, truncation by that of ``truncation``.
 """
 
 from __future__ import annotations
 
-import functools
 import html
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch
+from .canonical import fold
+from .language import LanguageModel, script, words
 from .truncation import is_open_json, truncated_replies
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 TAG = re.compile(r"<[^<>]{0,80}>|```\w*|`+|[*_#~|>]+")
+DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
 
-#: Fixed: how replies decline or claim not to know.
-REFUSALS = [
-    "I'm sorry, but I can't help with that", "I am unable to answer this question", "I cannot provide an answer", "I can't answer",
-    "I must decline to answer this one", "I prefer not to respond to questions of this sort", "This request can't be fulfilled",
-    "As a language model I do not have access to this information", "As an AI I cannot answer that", "I do not have reliable knowledge about this topic",
-    "I'd rather not guess", "I won't guess", "None of my sources cover this", "It would not be appropriate for me to pick one of these",
-    "Could you give more context", "I cannot answer as it stands", "this lies beyond what I was trained on",
-    "I cannot determine which option is right", "There is not enough information to choose an option", "I have no clue", "I have no idea", "No idea",
-    "Cannot answer", "Not sure", "I don't know", "I dont know", "I do not know", "I don't know the answer", "I'm not sure", "I am not certain", "I can't say", "I cannot say", "I cannot tell",
-    "Unknown", "N A", "Pass", "Sorry no", "No answer", "I have no answer to this", "I refuse to answer", "I decline",
-    "not able to help with this", "I cannot comply with this request", "cannot assist with that", "no comment",
+# --- refusals: classes of words, and the order in which a refusal has them ------------------------
+
+JOINED = [(re.compile(p, re.I), to) for p, to in (
+    (r"\bcan not\b", "cannot"), (r"\b(do|does|did|is|are|was|were|have|has|had|could|would|should|will|must|need)\s+not\b", r"\1n't"), (r"\b(ca|do|does|did|is|are|was|were|have|has|had|could|would|should|wo)nt\b", r"\1n't"),
+    (r"\bn\s*/\s*a\b", "unknown"), (r"\bam not\b|'m not\b", " not"),
+)]
+CLASSES = {
+    "not": "not no never none nothing nobody cannot without lack lacks lacked lacking insufficient neither nor little",
+    "cannot": "cannot can't couldn't won't wouldn't shan't unable refuse refuses refusing decline declines declining declined incapable impossible refrain abstain",
+    "able": "able willing comfortable allowed permitted qualified equipped designed supposed prepared inclined going position authorised authorized free competent confident ready keen happy",
+    "unwilling": "prefer rather must have need wish want choose like",
+    "say": "answer answered answering answers respond responding reply say saying tell telling help helping assist assisting assistance provide providing give giving offer offering comply complying choose choosing pick picking select selecting decide deciding determine determined determining guess guessing speculate speculating comment commenting fulfil fulfill fulfilled discuss discussing identify verify confirm judge address share recall remember commit settle venture certify responses response solve attempt",
+    "know": "know knows knew known knowledge information info idea clue clues data access context record records expertise certainty basis confidence detail details answer opinion sources source inkling notion memory evidence grounds insight recollection facts",
+    "sure": "sure certain confident positive",
+    "beyond": "outside beyond past exceeds above",
+    "scope": "expertise knowledge scope training trained remit abilities ability capabilities capability competence domain area field understanding reach purview limits grasp know learned learnt taught",
+    "proper": "appropriate proper right ethical responsible something place",
+    "cover": "cover covers covered covering mention mentions include includes contain contains address addresses",
+    "ask": "could can would may please need require provide give share clarify",
+    "more": "more further additional clarify clarification rephrase reword context details specifics",
+    "off": "sure idea clue certain",
+    "speak": "i i'm i'd i've i'll we we're we'd we've my our me us sorry afraid apologies apologize apologise regret unfortunately this that request it question there model ai",
+}
+CLASSES = {k: frozenset(v.split()) for k, v in CLASSES.items()}
+#: (classes in order, words that may lie between two of them).
+TEMPLATES = [
+    (("cannot", "say"), 4), (("not", "able", "say"), 4), (("unwilling", "not", "say"), 3), (("not", "want", "say"), 3), (("unwilling", "cannot"), 2), (("say", "cannot"), 2),
+    (("speak", "not", "know"), 4), (("not", "know"), 3), (("cannot", "know"), 3), (("not", "off"), 1), (("unsure",), 0), (("beyond", "scope"), 5),
+    (("not", "proper", "say"), 5), (("not", "proper", "me"), 2), (("know", "not", "cover"), 6), (("not", "know", "cover"), 6), (("ask", "more", "more"), 3), (("say", "not", "possible"), 3), (("than", "able", "say"), 3), (("not", "way", "say"), 5),
 ]
-#: Fixed: phrases around a refusal that choose nothing.
-POLITE = "unfortunately my apologies sorry i'm i am afraid but please ask something else thank you thanks for understanding so well hmm here and the this that question about it honestly".split()
-TRIGGER = re.compile(r"\b(?:sorry|apologi\w+|can't|cannot|can not|unable|declin\w+|know|idea|clue|guess|information|context|appropriate|respond|request|trained|access|pass|unknown|n/a|determine|help|not sure|certain|refuse|comply|assist|comment|sources|say|tell|no answer)\b", re.I)
-#: Fixed: frames around a question that is given back.
-ASKED = "question q the is you asked asks was your prompt well so ok okay right hmm here again let me see answering answer a".split()
-CHOICE = re.compile(r"(?:^|[^\w'])(?:[A-D](?=[).:,]|\s*$)|\(?[A-D]\)|(?:option|answer is|it is|it's|choose|pick is|pick|say)\s+\(?[A-D]\b|true|false|yes|answer is|pick is|my guess is|i'd say|it is\s*[.!]?\s*$)", re.I)
-
-#: Fixed: words by which a language is known; those after the bar are shared with others or with names.
-WORDS = {
-    "en": "the of and answer correct right think believe it this that was which since are not but with for option question | is i a an in to be as no so on at by all",
-    "de": "ist das nicht und ich glaube richtige antwort wahr falsch stimmt nein weil sein müsste anderen richtig | die der es ja",
-    "fr": "est c'est réponse bonne vrai faux oui je crois d'après s'agit anciennes pas juste | la le les il non que",
-    "es": "respuesta correcta verdad falso verdadero creo sí aunque cierto fácil | es la el que no",
-    "it": "è risposta giusta vero falso secondo perché altre vanno sì | la il le non me",
-    "pt": "é resposta certa verdade falso verdadeiro acho não há pois sim outra | a que",
-    "nl": "het juiste antwoord waar niet volgens mij maar weet nee onwaar dat niemand zeker | is ja",
-    "sv": "rätt svar är sant falskt jag tror inte det | att ja",
-    "pl": "poprawna odpowiedź prawda fałsz nie jest tak | to",
+CLASSES |= {
+    "want": frozenset("want wish like care dare intend mean plan propose".split()),
+    "unsure": frozenset("unsure uncertain unknown unaware unfamiliar undecided stumped clueless unanswerable undeterminable".split()),
+    "me": frozenset("me us my".split()), "possible": frozenset("possible available accessible feasible".split()),
+    "than": frozenset(("than",)), "way": frozenset("way means method chance hope".split()),
 }
-STRONG = {lang: frozenset(w.split("|")[0].split()) for lang, w in WORDS.items()}
-WEAK = {lang: frozenset(w.split("|")[1].split()) for lang, w in WORDS.items()}
-DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
+#: Replies that decline only where they are all that is said.
+ALONE = frozenset("pass skip dunno unknown none sorry no idea clue comment answer next question sure not thanks thank you please".split())
+DECLINES = ({"pass"}, {"skip"}, {"dunno"}, {"unknown"}, {"comment"}, {"sorry", "no"}, {"no", "answer"})
+#: What introduces a choice behind a doubt.
+CHOICE = re.compile(
+    r"(?:^|[^\w'])(?:[A-D](?=[).:,]|\s*$)|\(?[A-D]\)|(?:option|answer is|it is|it's|is|say|choose|pick|go with|going with|be)\s+\(?[A-D]\b|(?:answer|guess|pick|choice|bet|vote|money|hunch|instinct)\s*(?:is|:|would be|goes to|goes with|on)"
+    r"|i(?:'d| would| will|'ll)?\s+(?:still\s+)?(?:say|guess|go\s+(?:with|for)|going\s+with|pick|choose|opt)\b(?!\s+(?:that|so|not)\b)|(?:probably|perhaps|maybe|likely|presumably|possibly)\s+(?:it\s+is\s+|it's\s+)?[\"“*(]*[A-Z0-9]|\bit is\s*[.!]?\s*$)"
+)
+VERDICT = re.compile(r"\b(?:true|false|yes)\b(?!\s+or\s+(?:true|false|no)\b)", re.I)
+BOTH = re.compile(r"\b(?:true|false|yes|no)(?:,)?\s+(?:or|and|nor)\s+(?:true|false|yes|no)\b", re.I)
+SENTENCE = re.compile(r"[^.!?;\n]+[.!?;\n]*")
 
 
 def tokens(text: str) -> list[str]:
@@ -83,22 +102,25 @@ def said(answer: str) -> str | None:
 
 
 def lcs(a: list[str], b: list[str]) -> list[bool]:
-    """For each token of ``b`` whether it belongs to the longest common subsequence with ``a``."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
-        rows.append(row)
+    """For each token of ``b`` whether it belongs to the longest common subsequence with ``a``; a bit for each pair of places is kept."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free, columns = full, []
+    for y in b:
+        hit = free & places.get(y, 0)
+        free = (free + hit | free - hit) & full
+        columns.append(free)
     inside, i, j = [False] * len(b), len(a), len(b)
     while i and j:
-        if rows[i][j] == rows[i - 1][j]:
+        if columns[j - 1] >> i - 1 & 1:  # a's token adds nothing up to here
             i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
         else:
-            inside[j - 1] = True
-            i, j = i - 1, j - 1
+            if a[i - 1] == b[j - 1]:
+                inside[j - 1] = True
+                i -= 1
+            j -= 1
     return inside
 
 
@@ -106,42 +128,101 @@ def shingles(t: list[str], k: int = 3) -> set[tuple[str, ...]]:
     return {tuple(t[i : i + k]) for i in range(max(1, len(t) - k + 1))}
 
 
-TEMPLATES = [tokens(t) for t in REFUSALS]
-
-
-def chooses(text: str) -> bool:
-    return bool(CHOICE.search(text))
+def aligned(t: list[str]) -> list[bool]:
+    """For each token whether a refusal template is aligned there; all places of a text are tried."""
+    kinds = [frozenset(k for k, members in CLASSES.items() if w in members) | (frozenset(("not",)) if w.endswith("n't") else frozenset()) for w in t]
+    covered = [False] * len(t)
+    for template, gap in TEMPLATES:
+        for start, k in enumerate(kinds):
+            if template[0] not in k:
+                continue
+            at = [start]
+            for slot in template[1:]:
+                following = next((j for j in range(at[-1] + 1, min(len(t), at[-1] + gap + 2)) if slot in kinds[j]), None)
+                if following is None:
+                    break
+                at.append(following)
+            else:
+                for j in range(at[0], at[-1] + 1):
+                    covered[j] = True
+    return covered
+
+
+def declining(text: str, question: str = "") -> tuple[bool, str]:
+    """(whether a reply declines, what it says beside that); words of the question that it gives back are left out."""
+    for pattern, to in JOINED:
+        text = pattern.sub(to, text.replace("’", "'"))
+    q = tokens(question)
+    given, rest, declines, n = shingles(q, 4) if len(q) > 3 else set(), [], False, 0
+    for m in SENTENCE.finditer(text):
+        sentence = m.group()
+        found = list(TOKEN.finditer(sentence))
+        t = [x.group().lower() for x in found]
+        back = [False] * len(t)
+        for i in range(len(t) - 3):
+            if tuple(t[i : i + 4]) in given:
+                back[i : i + 4] = [True] * 4
+        n += len(t)
+        covered = aligned(["" if b else w for w, b in zip(t, back)])
+        declines |= any(covered)
+        kept, at = [], 0
+        for x, c, b in zip(found, covered, back):
+            if c or b:
+                kept.append(sentence[at : x.start()])
+                at = x.end()
+        rest.append("".join([*kept, sentence[at:]]))
+    left = " ".join(rest)
+    t = tokens(text)
+    if not declines and len(t) <= 6 and t and ALONE.issuperset(t) and any(d.issubset(t) for d in DECLINES):
+        declines = True
+    return declines, left
 
 
-def is_refusal(text: str) -> bool:
-    """Whether a reply declines: templates explain it but for polite words, and nothing is chosen."""
-    if not TRIGGER.search(text):
-        return False
-    t = tokens(text)
-    if len(t) > 40:
+def near(a: str, b: str, k: int) -> bool:
+    """Whether two words are ``k`` edits apart or less; neighbours swapped are one edit."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > k or k < 1:
         return False
-    covered = [w in POLITE for w in t]
-    explained = False
-    present = set(t)
-    for template in TEMPLATES:
-        if len(present.intersection(template)) < 0.75 * len(set(template)):
-            continue
-        inside = lcs(template, t)
-        n = sum(inside)
-        where = [i for i, x in enumerate(inside) if x]
-        if n >= max(1, 0.75 * len(template)) and where[-1] - where[0] < n + 3:
-            explained = True
-            covered = [a or b for a, b in zip(covered, inside)]
-    if not explained:
-        return False
-    rest = [w for w, c in zip(t, covered) if not c]
-    return len(rest) <= 2 and not (rest and chooses(text))
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            v = min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1)
+            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                v = min(v, before[j - 2] + 1)
+            new.append(v)
+        before, row = row, new
+    return row[-1] <= k
+
+
+def chooses(text: str, question: str = "", options: list[str] | None = None) -> bool:
+    """Whether a text chooses: a letter, a verdict, a turn of speech, an option, or a name that isn't the question's."""
+    if CHOICE.search(text) or VERDICT.search(BOTH.sub(" ", text)):
+        return True
+    t, asked = fold(text), set(fold(question))
+    named = 0
+    for option in options or []:
+        parts = [w for w in fold(option) if len(w) > 2 and w not in ("the", "and", "for") and w not in asked]
+        letters = sum(map(len, parts))
+        hit = sum(len(p) for p in parts if any(near(w, p, (len(p) + 1) // 4) for w in t))
+        named += bool(letters) and hit * 2 > letters
+    if named and named < max(2, len(options or [])):
+        return True
+    ask = set(tokens(question))
+    return any(capital and not start and w not in ask and w not in CLASSES["speak"] and len(w) > 2 for w, capital, start in words(text))
+
+
+def is_refusal(text: str, question: str = "", options: list[str] | None = None) -> bool:
+    """Whether a reply declines or claims not to know, and chooses nothing."""
+    declines, rest = declining(text, question)
+    return declines and not chooses(rest, question, options)
 
 
 def is_copy(question: str, text: str) -> bool:
     """Whether a reply gives back the question and no answer."""
     q, a = tokens(question), tokens(text)
-    if len(q) < 3 or len(a) < 0.6 * len(q):
+    if len(q) < 3:
         return False
     joined = " ".join(q)
     if joined not in " ".join(a):
@@ -153,68 +234,151 @@ def is_copy(question: str, text: str) -> bool:
     return sum(inside) >= 0.75 * len(q) and len(rest) <= max(1, len(q) // 8) and not any(w in ("true", "false", "yes", "no") or len(w) == 1 and w in "bcd" for w in rest)
 
 
-def language(text: str) -> str | None:
-    """The language its words are of: a code, ``other`` for another script, None if nothing tells."""
-    letters = [c for c in text if c.isalpha()]
-    foreign = [c for c in letters if not unicodedata.name(c, "").startswith("LATIN")]
-    if len(foreign) >= 2 and len(foreign) >= 0.1 * len(letters):
-        return "other"
-    t = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", text.replace("’", "'"))
-    # Capitalised words inside a text are names; those that begin it may be words.
-    words = [w.lower() for i, w in enumerate(t) if not i or not w[0].isupper() or text.isupper()]
-    words += [p for w in words if "'" in w for p in w.split("'")]
-    score = {lang: sum(w in STRONG[lang] for w in words) + 0.4 * sum(w in WEAK[lang] for w in words) for lang in WORDS}
-    if len(t) > 1 and t[0][0].isupper() and t[1][0].isupper() and not text.isupper():  # a name may begin like a word
-        score = {lang: v - (t[0].lower() in STRONG[lang]) for lang, v in score.items()}
-    alone = len(t) == 1
-    best = max(score, key=lambda lang: (score[lang], lang == "en"))
-    return best if score[best] >= (0.4 if alone else 1) else None
+#: Fixed: frames around a question that is given back.
+ASKED = "question q the is you asked asks was your prompt well so ok okay right hmm here again let me see answering answer a".split()
 
+# --- languages ------------------------------------------------------------------------------------
 
-@functools.lru_cache(maxsize=100_000)
-def question_language(question: str) -> str:
-    return language(question) or "en"
+#: Log-odds from which the words of a reply are of another language than its question's, by the number of words that tell it (the last for more): one may be a slip.
+FOREIGN = (99.0, 9.0, 6.0, 5.0)
+VERDICTS = frozenset(("true", "false"))
+#: Fixed: true and false in other languages, where these two are the options.
+VERDICT_WORDS = frozenset("""wahr unwahr falsch richtig stimmt vrai faux verdadero falso cierto vero verdadeiro waar onwaar juist onjuist sant falskt sandt
+falsk prawda fałsz pravda nepravda doğru yanlış adevărat igaz hamis totta oui nein sí sì sim ja si""".split())
 
 
-def defect(question: str | None, answer: str | None) -> str | None:
-    """The defect of a pair other than truncation."""
+def foreign_script(text: str, question: str) -> bool:
+    """Whether a tenth of a text's letters, and two at least, are of a script that its question has none of."""
+    mine, asked = script(text), script(question)
+    foreign = sum(n for s, n in mine.items() if s not in asked and s not in ("LATIN", "MODIFIER", "FEMININE", "MASCULINE") and s)
+    if not asked and not foreign:
+        return False
+    latin = mine["LATIN"] if asked and "LATIN" not in asked else 0
+    return foreign + latin >= 2 and (foreign + latin) * 10 >= sum(mine.values())
+
+
+def own_words(text: str, question: str, options: list[str], model: LanguageModel, base: str) -> list[tuple[str, bool]]:
+    """The words of a reply without names: those of the options, as they are or with slips, run together or split, and of the question."""
+    verdict = all(o.lower() in VERDICTS for o in options) and bool(options)
+    known = {w for w, _, _ in words(question)}
+    names = [] if verdict else [w for o in options for w, _, _ in words(o)]
+    names += [a + b for a, b in zip(names, names[1:])]
+    exact = known.union(VERDICTS if verdict else names)
+    squeezed = ["".join(c for c in o.lower() if c.isalpha()) for o in options] if not verdict else []
+    said_ = [(w, c and not verdict) for w, c, start in words(text) if start]
+    out = []
+    for i, (w, capital) in enumerate(said_):
+        if w in exact:
+            continue
+        p = model.log(w, capital)
+        if max(p.values()) - p[base] > 1:
+            pieces = [w, w + said_[i + 1][0] if i + 1 < len(said_) else w, said_[i - 1][0] + w if i else w]
+            if any(near(x, n, max(1, (len(n) + (j == 0)) // (3 + (j > 0)))) for j, x in enumerate(pieces) for n in names if len(n) > 2) or len(w) < 4 and any(x in s for x in pieces[1:] if len(x) > 4 for s in squeezed):
+                continue
+        out.append((w, capital))
+    return out
+
+
+def spoken(text: str, question: str, options: list[str], model: LanguageModel, memo: dict) -> str | None:
+    """The language of a reply if it isn't its question's: a code, or ``other``."""
+    if foreign_script(text, question):
+        return "other"
+    if question not in memo:
+        memo[question] = model.of(question) if question else model.usual
+    base = memo[question]
+    own = own_words(text, question, options, model, base)
+    if base == "en" and options and all(o.lower() in VERDICTS for o in options) and len(own) <= 3 and any(w in VERDICT_WORDS or w.partition("'")[2] in VERDICT_WORDS for w, _ in own):
+        return "other"
+    best, odds = model.compare(own, base)
+    telling = sum(1 for p in (model.log(w, c) for w, c in own) if p[best] - p[base] > 0.5)
+    return best.strip("-") if odds > FOREIGN[min(telling, 3)] and best != base else None
+
+
+def at_once(question: str | None, answer: str | None, model: LanguageModel, memo: dict) -> str | None:
+    """The defect of a pair as far as its texts tell it; ``?`` if the question's options decide whether there is one."""
     text = said(answer) if answer else None
     if text is None:
         return "empty"
-    if len(text) < 3 or text.lower() in ("true", "false"):
+    bare = text.strip().lower()
+    if bare in VERDICTS or re.fullmatch(r"\W*[a-d]\W*", bare):
         return None
-    if is_refusal(text):
+    if declining(text, question or "")[0]:
+        return "?"
+    if question and is_copy(question, text):
+        return "copied_question"
+    if foreign_script(text, question or ""):
+        return "other_language"
+    question = question or ""
+    if question not in memo:
+        memo[question] = model.of(question) if question else model.usual
+    own = [(w, False) for w, _, start in words(text) if start and w not in VERDICTS]
+    if len(own) <= 3 and any(w in VERDICT_WORDS or w.partition("'")[2] in VERDICT_WORDS for w, _ in own):
+        return "?"
+    return "?" if model.most(own, memo[question]) > FOREIGN[-1] else None
+
+
+def with_options(question: str | None, answer: str, options: list[str], model: LanguageModel, memo: dict) -> str | None:
+    """The defect of a pair, other than truncation."""
+    text = said(answer) if answer else None
+    if text is None:
+        return "empty"
+    if is_refusal(text, question or "", options):
         return "refusal"
     if question and is_copy(question, text):
         return "copied_question"
-    spoken = language(text)
-    return "other_language" if spoken and spoken != question_language(question or "") else None
+    return "other_language" if spoken(text, question or "", options, model, memo) else None
 
 
-@F.pandas_udf(T.StringType())
-def defect_udf(questions: pd.Series, answers: pd.Series) -> pd.Series:
-    memo: dict = {}
-    out = []
-    for q, a in zip(questions, answers):
-        key = a if a is None or len(a) < 24 else (q, a)  # too short for a copy
-        if key not in memo:
-            memo[key] = defect(q, a)
-        out.append(memo[key])
-    return pd.Series(out, dtype="object")
+def defect(question: str | None, answer: str | None, options: list[str] | None = None, model: LanguageModel | None = None) -> str | None:
+    """The defect of one pair, other than truncation."""
+    model, memo = model or LanguageModel({}), {}
+    first = at_once(question, answer, model, memo)
+    return with_options(question, answer or "", options or [], model, memo) if first == "?" else first
 
 
-def defective_pairs(rows: DataFrame, id_col: str, question_col: str, answer_col: str, question_id: str, prior_col: str, options: DataFrame) -> DataFrame:
+def defective_pairs(rows: DataFrame, id_col: str, question_col: str, answer_col: str, question_id: str, prior_col: str, questions: DataFrame, model: LanguageModel, cut: DataFrame | None = None) -> DataFrame:
     """(id, defect) of the defective ``rows``, one defect each.
 
-    A truncated answer counts as that, whatever else it is; a null, blank or empty one is ``empty``.
-    Without a question no copy is found and the language is held to be English. Rows repeated under
-    one id come out once each.
+    ``questions`` has the ``options`` by ``question_id``; a question that isn't there has none. A
+    truncated answer counts as that, whatever else it is; a null, blank or empty one is ``empty``.
+    Without a question no copy is found and the language is held to be the usual one. Rows repeated under
+    one id come out once each. ``cut`` are the truncated rows if they are known already.
     """
-    cut = truncated_replies(rows.select(id_col, question_id, F.col(answer_col).alias("_text"), prior_col), "_text", question_id, prior_col, options)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.StringType())
+    def first_look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        m, asked, memo = shared.value, {}, {}
+        for questions_, answers in batches:
+            out = []
+            for q, a in zip(questions_, answers):
+                if (q, a) not in memo:
+                    if len(memo) > 50_000:
+                        memo.clear()
+                        asked.clear()
+                    memo[q, a] = at_once(q, a, m, asked)
+                out.append(memo[q, a])
+            yield pd.Series(out, dtype="object")
+
+    @F.pandas_udf(T.StringType())
+    def second_look(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        m, asked = shared.value, {}
+        for questions_, answers, options_ in batches:
+            if len(asked) > 50_000:
+                asked.clear()
+            yield pd.Series([with_options(q, a, [x for x in o if x] if o is not None else [], m, asked) for q, a, o in zip(questions_, answers, options_)], dtype="object")
+
+    if cut is None:
+        cut = truncated_replies(rows.select(id_col, question_id, F.col(answer_col).alias("_text"), prior_col), "_text", question_id, prior_col, questions)
     cut = cut.select(id_col, F.lit("truncated").alias("defect"))
     last = lambda c: F.regexp_extract(F.lower(c), r"(?U)(\w+)\W*$", 1)
-    other = rows.select(id_col, defect_udf(question_col, answer_col).alias("defect"), (last(question_col) == last(answer_col)).alias("_whole")).where("defect is not null")
+    seen = rows.select(F.col(id_col).alias("_id"), F.col(question_id).alias("_qid"), F.col(question_col).alias("_q"), F.col(answer_col).alias("_a"), first_look(question_col, answer_col).alias("_d")).where("_d is not null")
+    seen = scratch(seen, "seen")
+    known = questions.select(F.col(question_id).alias("_qid"), F.col("options").alias("_options"))
+    asked = seen.where("_d = '?'").join(known, "_qid", "left").withColumn("_d", second_look("_q", "_a", "_options")).where("_d is not null")
+    both = seen.where("_d <> '?'").unionByName(asked.select(*seen.columns))
+    other = scratch(both.select(F.col("_id").alias(id_col), F.col("_d").alias("defect"), (last("_q") == last("_a")).alias("_whole")), "other")
     # A question that is given back to its last word isn't cut, however unusual an end that is.
     whole = other.where("defect = 'copied_question' and _whole").select(id_col).distinct()
-    cut = cut.join(whole, id_col, "left_anti")
+    cut = scratch(cut.join(whole, id_col, "left_anti"), "cut")
     return cut.unionByName(other.drop("_whole").join(cut.select(id_col).distinct(), id_col, "left_anti"))

@@ -12,6 +12,7 @@ from . import percentiles as radix
 from .canonical import canonical_entries
 from .encoding import encode_corpus
 from .formatting import collapse, further_copies
+from .language import fit_languages
 from .packing import pack_along_curve, with_curve_key
 from .pairs import defective_pairs
 from .personal import GIVEN, find_personal, redacted
@@ -164,7 +165,7 @@ def p4_shares(spark: SparkSession, base: str) -> DataFrame:
 @catalog.add("p5_found")
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "fct_answer").select("answer_id", "question_id", "question", "ai_answer", prior_odds(*map(F.col, ("ai_answer", "finish_reason", "completion_tokens", "max_tokens"))).alias("prior"))
-    return defective_pairs(rows, "answer_id", "question", "ai_answer", "question_id", "prior", table(spark, base, "questions").select("question_id", "options"))
+    return defective_pairs(rows, "answer_id", "question", "ai_answer", "question_id", "prior", table(spark, base, "questions").select("question_id", "options"), fit_languages(table(spark, base, "documents")))
 
 
 @catalog.add("p5_by_type")

@@ -3,10 +3,17 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evalmill.llm.pairs import defect, defective_pairs, is_copy, is_refusal, language
+from evalmill.llm.language import LanguageModel, fit_languages
+from evalmill.llm.pairs import at_once, defect, defective_pairs, is_copy, is_refusal, lcs, with_options
 from evalmill.llm.truncation import contexts, core, cut_name, is_open_json, prior_odds, truncated_replies, typed_name
 
 QUESTION = "Which place lent its name to the Kerola marathon's half-way mark?"
+OPTIONS = ["Port Varn", "Lake Somil", "Peter de Quesouhiar", "Saint Zovavin"]
+
+
+@pytest.fixture(scope="module")
+def model(spark, small):
+    return fit_languages(spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet"))
 
 
 @pytest.mark.parametrize("text,want", [('{"answer": "A"}', False), ('{"answer": "A', True), ('{"a": {"b": "}"', True), ("plain", None), ("a {set} of", None), ('```json\n{"answer": "A"}\n```', False), ('{"a": "\\"}', True), ("", None), ("{", True)])
@@ -71,8 +78,8 @@ def test_refusals(text):
 
 
 @pytest.mark.parametrize("text", ["Sorry for the delay - it is C.", "I'm not sure, but the answer is D.", "I'm not sure, but false.", "I don't know much about this, but Port Varn it is.", "I can't be certain; my pick is Saint Brelda.", "Unknown to many, but true.", "I cannot verify every detail, yet it is false.", "B", "True", "Port Varn", "none of the above", "42", '{"answer": "C", "why": "I am not sure, but the answer is C."}'])
-def test_no_defect(text):
-    assert defect(QUESTION, text) is None
+def test_no_defect(text, model):
+    assert defect(QUESTION, text, OPTIONS, model) is None
 
 
 @pytest.mark.parametrize("text", [None, "", "  ", "​", "-", "...", "**", '""', "{}", "{ }", '{"answer": ""}', '{"answer": null}', "<p></p>", "``````", "—", "null"])
@@ -80,32 +87,80 @@ def test_empty(text):
     assert defect(QUESTION, text) == "empty"
 
 
-def test_copies():
+def test_copies(model):
     for text in (QUESTION, QUESTION.lower(), f"You asked: {QUESTION}", f'"{QUESTION}"', QUESTION.replace("the ", ""), '{"answer": "%s"}' % QUESTION):
-        assert defect(QUESTION, text) == "copied_question", text
+        assert defect(QUESTION, text, OPTIONS, model) == "copied_question", text
     assert not is_copy(QUESTION, QUESTION + " The correct answer is C) Port Varn.") and not is_copy("The Wuko beetle can't fly.", "The Wuko beetle can't fly. False")
     assert not is_copy("", "x") and not is_copy(QUESTION, "Port Varn")
 
 
 @pytest.mark.parametrize("text", ["La bonne réponse est Port Varn.", "Die richtige Antwort ist Port Varn.", "Vrai.", "Falsch", "Es verdad.", "Правильный ответ: Port Varn.", "正解はPort Varnです。", "Het juiste antwoord is Port Varn.", "Acho que é Port Varn, pois não há outra opção.", "Rätt svar är Port Varn.", "Poprawna odpowiedź to Port Varn."])
-def test_other_language(text):
-    assert defect(QUESTION, text) == "other_language"
+def test_other_language(text, model):
+    options = ["True", "False"] if len(text.split()) < 3 else ["Port Varn", "Lake Somil"]
+    assert defect(QUESTION, text, options, model) == "other_language"
+
+
+def test_names_are_of_no_language(model):
+    for text in ("Peter de Quesouhiar", "peter de quesouhair", "Sant Zovavin", "La Falls", "zovavin saint", "It's Port Varm", "", "42"):
+        assert defect(QUESTION, text, OPTIONS, model) in (None, "empty"), text
+
+
+#: None of these is in the test data.
+REFUSED = """That falls outside my area of expertise.|I won't be able to respond to that question.|I'm not comfortable answering that.|Apologies, but this is more than I am able to tell you.
+I haven't the faintest idea.|Regrettably, I lack the data to settle this.|This is beyond the scope of my knowledge.|There's no way for me to determine that.|I must respectfully decline.|We do not have any record of it.
+I don't possess information about this marathon.|It is not something I can answer.|Honestly, no clue whatsoever.|I am not qualified to judge this.|I'm unsure.|I can't verify that, so I will refrain from guessing.|My knowledge does not cover this.
+I'd prefer not to speculate.|Not enough context was given for me to decide.|I'm afraid that I could not find any details on that.|No comment.|Skip.|I do not want to answer this.|Unable to determine.|That isn't something I am able to help with.|You would have to ask somebody else, as I have no knowledge of it.|Nothing in my training covers this.|It would be improper for me to say.|I can neither confirm nor deny that.|Sorry, that one has me stumped.""".replace("\n", "|").split("|")
+ANSWERED = """I'm unsure, but I'd go with Lake Somil.|Not certain at all. My money is on B.|I have no record of it; still, Port Varn seems right.|Without more context I'd say (C).|I can't be positive, though probably Saint Zovavin.|Nobody knows for sure. True.
+It is Port Varn, though I lack details.|My best guess: Lake Somil.|There is little information on it, yet the answer is Peter de Quesouhiar.|The archive holds no records of the year, but Lake Somil was meant.|I could not say it better: Port Varn.|I do not think so: false.|lake somil, no idea why""".replace("\n", "|").split("|")
+FOREIGN = """Selon moi, il faut choisir Port Varn.|Pienso que debe ser Lake Somil.|Penso che sia Port Varn.|Natürlich Port Varn, keine Frage.|Wahrscheinlich handelt es sich um Lake Somil.|Je dirais plutôt Port Varn, sans en être sûr.|Sin duda alguna, es Lake Somil.|Direi proprio Port Varn.
+Ich würde auf Port Varn tippen.|Ik zou voor Port Varn kiezen.|Jag skulle gissa på Port Varn.|Eu escolheria Port Varn sem hesitar.|Wydaje mi się, że chodzi o Port Varn.|Je n'en sais rien.|Das weiß ich leider nicht.""".replace("\n", "|").split("|")
+#: Of languages that nothing was fitted on.
+UNKNOWN = """Riktig svar er uten tvil Port Varn.|Správna odpoveď je určite Port Varn.|La resposta correcta és segurament Port Varn.|Jawaban yang benar adalah Port Varn.|Točan odgovor je vjerojatno Port Varn.|Õige vastus on kindlasti Port Varn.|Pareiza atbilde ir noteikti Port Varn.|תשובה נכונה Port Varn|ठीक जवाब Port Varn|Správný výsledok: 正しい""".split("|")
+PLAIN = """I reckon it must be Port Varn.|Port Varn, beyond doubt.|Could well be Lake Somil.|Certainly Port Varn; the others are too young.|the harbour town of port varn|Surely none but Saint Zovavin qualifies.|Probably the lake.|C, obviously|Oh, that's easy: Port Varn!|second option|Peter de Quesouhiar founded it|Hmm - Lake Somil then""".replace("\n", "|").split("|")
+
+
+def share(texts, want, model):
+    return sum(defect(QUESTION, t, OPTIONS, model) == want for t in texts) / len(texts)
+
+
+def test_held_out_refusals(model):
+    assert share(REFUSED, "refusal", model) >= 0.9
+    assert share([f"{t} Thank you so much for your patience with me today, and please do come back whenever you wish to talk about anything else at all; it is always a pleasure. " * k for t in REFUSED[:10] for k in (1, 3)], "refusal", model) >= 0.9
+    assert share(ANSWERED, "refusal", model) <= 0.1
+
+
+def test_held_out_languages(model):
+    assert share(FOREIGN, "other_language", model) >= 0.9
+    assert share(UNKNOWN, "other_language", model) >= 0.75
+    assert share(PLAIN + ANSWERED, "other_language", model) == 0
+
+
+def test_first_look_loses_nothing(model):
+    for text in [*REFUSED, *ANSWERED, *FOREIGN, *PLAIN, QUESTION]:
+        if at_once(QUESTION, text, model, {}) is None:
+            assert with_options(QUESTION, text, OPTIONS, model, {}) is None, text
+
+
+def test_languages_without_labels(spark):
+    none = spark.createDataFrame([(None, None), ("x y", None), (None, "en"), ("  ", "fr"), ("a b c", "und"), ("d e", "klingon")], "text string, lang string")
+    for m in (fit_languages(none), fit_languages(none.where("false")), fit_languages(None)):
+        assert m.counts == LanguageModel({}).counts and m.usual and m.of("The right answer is the other one") == "en" and m.of("") == m.usual
 
 
-def test_names_are_of_no_language():
-    assert language("Peter de Quesouhiar") is None and language("Sant Zovavin") is None and language("La Falls") is None and language("") is None
+def test_lcs():
+    assert lcs(list("abcbdab"), list("bdcaba")).count(True) == 4 and lcs([], ["a"]) == [False] and lcs(["a"], []) == []
 
 
-def test_pairs(spark):
+def test_pairs(spark, model):
     rows, names = corpus(spark)
     base = [(i, q, QUESTION, t, m) for i, q, t, m in rows]
     more = {5000: None, 5001: "I have no clue.", 5002: QUESTION, 5003: "La bonne réponse est Port Varn.", 5004: "The answer is Port Varn. The old mill sto", 5005: "B"}
     schema = "answer_id bigint, question_id string, question string, ai_answer string, full boolean"
     df = spark.createDataFrame(base + [(i, "q1", QUESTION, t, False) for i, t in more.items()] + [(5006, None, None, "B", None)], schema).withColumn("prior", F.when(F.col("full"), 0.8))
     questions = spark.createDataFrame([(f"q{i}", names[:4]) for i in range(5)], "question_id string, options array<string>")
-    got = {r.answer_id: r.defect for r in defective_pairs(df, "answer_id", "question", "ai_answer", "question_id", "prior", questions).collect()}
+    got = {r.answer_id: r.defect for r in defective_pairs(df, "answer_id", "question", "ai_answer", "question_id", "prior", questions, model).collect()}
     assert got == {5000: "empty", 5001: "refusal", 5002: "copied_question", 5003: "other_language", 5004: "truncated"}
-    assert defective_pairs(df.where("answer_id < 0"), "answer_id", "question", "ai_answer", "question_id", "prior", questions).count() == 0
+    assert defective_pairs(df.where("answer_id < 0"), "answer_id", "question", "ai_answer", "question_id", "prior", questions, model).count() == 0
 
 
 def test_small_table(spark, small, q):
