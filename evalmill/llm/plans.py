@@ -15,7 +15,7 @@ from .formatting import collapse, further_copies
 from .language import fit_languages
 from .packing import pack_along_curve, with_curve_key
 from .pairs import defective_pairs
-from .personal import GIVEN, find_personal, redacted
+from .personal import find_personal, learned_names, redacted
 from .truncation import prior_odds, truncated_replies
 
 catalog = Catalog()
@@ -119,22 +119,22 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     return packed.groupBy("container_id").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), (CAPACITY - F.sum("n_tokens")).alias("unused"))
 
 
-def _given_names(spark: SparkSession, base: str) -> list[str]:
-    """Given names of the persons of the reference list, which is fixed and small, beside the usual ones."""
-    first = table(spark, base, "answer_entries").where("kind = 'person'").select(F.substring_index("name", " ", 1).alias("g")).distinct()
-    if first.count() > 10_000:
-        raise ValueError("too many given names for a pattern")
-    return sorted({r.g for r in first.collect() if r.g} | set(GIVEN))
+def _names(spark: SparkSession, base: str) -> tuple[list[str], list[str]]:
+    """(given names, names that are no person's): of the reference list, which is fixed and small, and given names that the documents show."""
+    entries = table(spark, base, "answer_entries").select("kind", "name").dropna().collect()
+    others = [r.name for r in entries if r.kind != "person"]
+    learned = learned_names(table(spark, base, "documents"), "text", others)
+    return sorted({r.name.split(" ")[0] for r in entries if r.kind == "person"}.union(learned)), others
 
 
 @catalog.add("p9_found")
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    return find_personal(table(spark, base, "documents"), "doc_id", "text", _given_names(spark, base))
+    return find_personal(table(spark, base, "documents"), "doc_id", "text", *_names(spark, base))
 
 
 @catalog.add("p9_redacted")
 def p9_redacted(spark: SparkSession, base: str) -> DataFrame:
-    return redacted(table(spark, base, "documents").select("doc_id", "text"), "text", _given_names(spark, base)).drop("text")
+    return redacted(table(spark, base, "documents").select("doc_id", "text"), "text", *_names(spark, base)).drop("text")
 
 
 def _truncated(spark: SparkSession, base: str, rows: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalmill.llm.personal import GIVEN, Finder, Shadow, find_personal, redact, redacted
+from evalmill.llm.personal import ANNOUNCES, GERMAN_STREET, Finder, Shadow, find_personal, learned_names, redact, redacted
 
-FINDER = Finder(GIVEN)
+GIVEN = "Lucia Noor Oliver Ines Elena Petra".split()
+OTHERS = ["Port Varn", "Blue Kasvir", "The Silent Mirror", "Kerola Falls"]
+FINDER = Finder(GIVEN, OTHERS)
 
 
 def found(text):
@@ -47,6 +49,43 @@ def test_cases(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("My colleague Olumide Adebayo called", "Olumide Adebayo"), ("Please forward this to Svetlana Ivanova", "Svetlana Ivanova"), ("I spoke with Dr. Hiroshi Tanaka", "Hiroshi Tanaka"),
+    ("Best wishes,\nCarmen Ruiz", "Carmen Ruiz"), ("written by Mehmet Yilmaz", "Mehmet Yilmaz"), ("I met João da Silva yesterday", "João da Silva"), ("Monsieur Jean Dupont est là", "Jean Dupont"),
+    ("Yesterday Wilma Ek (wilma.ek@x.example) won", "Wilma Ek"), ("> - P. Lindq", "P. Lindq"), ("- P. Lindq", "P. Lindq"), ("Signed, A. B. Smith", "A. B. Smith"), ("Payee: Bjorn Dahl; 12", "Bjorn Dahl"),
+    ("Meine Kollegin Heike Vogel fragt", "Heike Vogel"), ("Gracias a Ignacio Prieto por todo", "Ignacio Prieto"), ("Merci à Thibault Lemaire", "Thibault Lemaire"), ("Mit freundlichen Grüßen\nUwe Brandt", "Uwe Brandt"),
+])
+def test_names_by_evidence(text, want):
+    assert ("name", want) in found(text)
+
+
+@pytest.mark.parametrize("text", ["Thanks to the Picture Desk for it", "Write to Port Varn now", "Ask Table Captain", "Contact: Blue Kasvir", "I am Team Seven", "My Neighbour Keeps Re-Using The Old Crafts Set On Most Days Again And Again", "Ask The Silent Mirror"])
+def test_no_names(text):
+    assert not found(text)
+
+
+@pytest.mark.parametrize("text,kind,want", [
+    ("Call 01632 960 001 now", "phone", "01632 960 001"), ("+31 20 123 4567", "phone", "31 20 123 4567"), ("00420 601 123 456", "phone", "00420 601 123 456"), ("(0161) 496 0123", "phone", "0161) 496 0123"),
+    ("at 742 Evergreen Plaza", "street_address", "742 Evergreen Plaza"), ("10 Downing Boulevard", "street_address", "10 Downing Boulevard"), ("Keizersgracht 123", "street_address", "Keizersgracht 123"), ("Rua Augusta, 24", "street_address", "Rua Augusta, 24"),
+])
+def test_other_plans(text, kind, want):
+    assert (kind, want) in found(text)
+
+
+def test_filters_lose_nothing():
+    """A text that a costly pattern matches has one of the signs without which it isn't tried."""
+    for sign in GERMAN_STREET:
+        assert any(k == "street_address" for k, _ in found(f"Linden{sign} 12")), sign
+    for word in ("passport", "pass-nr", "passeport", "pasaporte", "passaporto", "identity card", "id card", "ausweis", "personalausweis", "carte d'identité"):
+        assert any(x in word for x in ANNOUNCES) and ("identity_number", "Q1234567X") in found(f"{word}: Q1234567X"), word
+
+
+def test_learned(spark):
+    docs = spark.createDataFrame([(f"{k}. Signed, Zuleika {s}\nAsk Port Varn",) for k, s in enumerate("Brandt Prieto Lemaire Vogel".split())] + [("Signed, Once Only",), (None,)], "text string")
+    assert learned_names(docs, "text", OTHERS) == ["zuleika"] and learned_names(docs.where("false"), "text") == []
+    assert ("name", "zuleika brandt") in {(k, t[a:b]) for t in ["so zuleika brandt wrote"] for a, b, k in Finder(["zuleika"]).spans(t)}
+
+
 @pytest.mark.parametrize("text", [
     "Invoice 2022-64276 covers 2025-03-23.", "Runtime 2.41.0, host 192.0.2.17, seed 55434.", "QB-69/21787", "See thread #66002", "final score 21-17.", "Handle @tabletop_39 posted", "12345678901234567890123456789012345678901234567890",
     "Run pelagic-14b__v3_json__ron__20260308-1049 finished", "The hall in Lake Grim opens at 18:30.", "6. As of 2019, which place lent its name", "Port Varn and The Silent Mirror", "", "   ", "At the last minute, an older draft voted.",
@@ -74,11 +113,11 @@ def test_any_text(text):
 def test_spark(spark):
     long = "The mill stood near. " * 20_000 + "Signed, Noor Gunder"
     docs = spark.createDataFrame([(1, "cc: a@b.example a@b.example", "k"), (2, None, "k"), (3, "", "k"), (4, long, None), (1, "cc: a@b.example", "k")], "doc_id bigint, text string, kind string")
-    got = sorted(map(tuple, find_personal(docs, "doc_id", "text").collect()))
+    got = sorted(map(tuple, find_personal(docs, "doc_id", "text", GIVEN).collect()))
     assert got == [(1, "email", "a@b.example"), (1, "email", "a@b.example"), (4, "name", "Noor Gunder")]
-    r = {x.doc_id: x for x in redacted(docs.where("doc_id > 1"), "text").collect()}
+    r = {x.doc_id: x for x in redacted(docs.where("doc_id > 1"), "text", GIVEN).collect()}
     assert r[2].redacted is None and r[3].redacted == "" and r[4].redacted.endswith("Signed, [NAME]")
-    assert find_personal(docs.where("doc_id < 0"), "doc_id", "text").count() == 0
+    assert find_personal(docs.where("doc_id < 0"), "doc_id", "text", GIVEN).count() == 0
 
 
 def test_small_table(spark, small, q):
