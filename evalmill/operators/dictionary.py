@@ -33,13 +33,3 @@ def assign_codes(distinct: DataFrame, keys: list[str], code: str, start: int = 0
             yield b
 
     return scratch(distinct.repartition(n, *keys).mapInPandas(number, schema), f"dict-{code}")
-
-
-def grown_dictionary(known: DataFrame | None, values: DataFrame, keys: list[str], code: str) -> DataFrame:
-    """``known`` (keys, code) with codes added for those distinct rows of ``values`` that it lacks."""
-    distinct = values.select(*keys).dropna().distinct()
-    if known is None:
-        return assign_codes(distinct, keys, code)
-    new = distinct.join(known.select(*keys), keys, "left_anti")
-    first = known.agg(F.coalesce(F.max(code) + 1, F.lit(0))).first()[0]
-    return known.select(*keys, code).unionByName(assign_codes(new, keys, code, start=first))

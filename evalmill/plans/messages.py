@@ -20,8 +20,8 @@ KEYS = ["run_id", "question_id"]
        WHERE answer_id <> kept_id""",
 )
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "fct_answer").select(*KEYS, "answer_id")
-    return surplus_arrivals(rows, KEYS, "answer_id").withColumnsRenamed({"kept": "kept_id", "copy": "copy_id"})
+    rows = table(spark, base, "fct_answer").select(*KEYS, "answer_id", "batch_no")
+    return surplus_arrivals(rows, KEYS, "answer_id", "batch_no").withColumnsRenamed({"kept": "kept_id", "copy": "copy_id"})
 
 
 @catalog.add(
@@ -33,4 +33,4 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 )
 def p6_kept(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "fct_answer").select("answer_id", *KEYS, "grade", "response_time", "batch_no")
-    return keep_one(rows, KEYS, "answer_id")
+    return keep_one(rows, KEYS, "answer_id", "batch_no")

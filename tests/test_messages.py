@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.operators.dictionary import assign_codes
-from evalmill.operators.messages import SeenMessages, bit_is_set, keep_one, surplus_arrivals
+from evalmill.operators.messages import Conflict, SeenMessages, bit_is_set, keep_one, surplus_arrivals
 from evalmill.operators.skew import lookup_join
 
 KEYS = ["run_id", "question_id"]
@@ -36,6 +36,42 @@ def test_surplus_and_kept_equal_brute_force(spark):
     assert kept == set(first.values()) | {i for i, r, q, _ in rows if r is None or q is None}
 
 
+def test_batches_in_one_table(spark):
+    rows = [(*r, i // 40) for i, r in enumerate(random_rows(300, 2))]
+    df = spark.createDataFrame(rows, SCHEMA + ", batch int").withColumn("batch", F.when(F.col("batch") > 0, F.col("batch")))  # the first batch has no number
+    first = brute([r[:4] for r in rows])
+    want = sorted((first[r, q], i) for i, r, q, _, _ in rows if r is not None and q is not None and first[r, q] != i)
+    assert sorted(map(tuple, surplus_arrivals(df, KEYS, "id", "batch").collect())) == want
+    assert {r.id for r in keep_one(df, KEYS, "id", "batch").collect()} == set(first.values()) | {i for i, r, q, _, _ in rows if r is None or q is None}
+    assert keep_one(df.withColumn("batch", F.lit(None).cast("int")), KEYS, "id", "batch").count() == keep_one(df, KEYS, "id").count()
+
+
+def test_commit_leaves_other_shards(spark, tmp_path):
+    store = SeenMessages(spark, f"file://{tmp_path}/seen", KEYS, groups=1000)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "seen").rglob("*.parquet")}
+    batch = lambda ids: spark.createDataFrame([(i, f"run{i}", "q", "x") for i in ids], SCHEMA)
+    store.admit(batch(range(20)), "id", lambda kept: None)
+    before, held = files(), dict(store.current()["bitmaps"])
+    store.admit(batch([100]), "id", lambda kept: None)
+    after, now = files(), store.current()["bitmaps"]
+    assert before.items() <= after.items() and sum(held.get(g) != p for g, p in now.items()) == 1
+    store.admit(batch([3, 101]), "id", lambda kept: None)
+    store.admit(batch([102]), "id", lambda kept: None)
+    assert store.count() == 23 and len(list((tmp_path / "seen").glob("version-*.json"))) == 2
+    assert sum(len(p) for p in store.current()["dictionaries"].values()) == 5  # four parts of runs, one of questions
+    merged = SeenMessages(spark, store.path, KEYS, groups=1000, parts=2)
+    merged.admit(batch([103]), "id", lambda kept: None)
+    assert len(merged.current()["dictionaries"]["run_id"]) == 1 and merged.dictionary("run_id").count() == 24 and merged.count() == 24
+
+
+def test_two_writers_conflict(spark, tmp_path):
+    a, b = (SeenMessages(spark, f"file://{tmp_path}/seen", KEYS) for _ in range(2))
+    df = spark.createDataFrame([(1, "a", "q", "x")], SCHEMA)
+    with pytest.raises(Conflict):
+        a.admit(df, "id", lambda kept: b.admit(df, "id", lambda k: None))
+    assert a.version() == 1 and a.count() == 1
+
+
 def test_rows_written_twice_count(spark):
     df = spark.createDataFrame([(1, "a", "q", "x"), (1, "a", "q", "x"), (2, "a", "q", "x")], SCHEMA)
     assert sorted(map(tuple, surplus_arrivals(df, KEYS, "id").collect())) == [(1, 1), (1, 2)]
