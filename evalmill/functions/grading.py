@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import normalize_answer, normalize_answers
+from .text import normalize_answer, normalize_answers, strip
 
 # Fixed values that results depend on.
 LETTERS = "ABCD"
@@ -55,10 +55,10 @@ def unwrapped(text: Column) -> Column:
     """The ``answer`` of a JSON reply, also of one with prose around it; null if there is none."""
     def field(candidate: Column) -> Column:
         parsed = F.from_json(candidate, "map<string,string>")
-        value = F.trim(F.coalesce(parsed["answer"], F.lit("None")))
+        value = strip(F.coalesce(parsed["answer"], F.lit("None")))
         return F.when(F.coalesce(F.map_contains_key(parsed, "answer"), F.lit(False)), F.when(F.length(value) == 1, F.upper(value)).otherwise(value))
 
-    return F.coalesce(field(F.trim(text)), field(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
+    return F.coalesce(field(strip(text)), field(F.regexp_extract(text, r"(?s)\{.*\}", 0)))
 
 
 def letter(text: Column) -> Column:
@@ -133,7 +133,7 @@ def grade(rows: DataFrame, threshold: float = 90.0, margin: float = 5.0) -> Data
     at = F.coalesce(F.instr(F.lit(LETTERS), F.col("_letter")) - 1, F.col("_match.at"))
     chosen = ~failed & ~boolean & at.isNotNull()
     word = F.when(boolean & F.col("_how").isNotNull(), said)
-    rest = F.when(~boolean & (text != "") & ~refusal, F.nullif(F.substring(F.trim("_reply"), 1, 200), F.lit("")))
+    rest = F.when(~boolean & (text != "") & ~refusal, F.nullif(F.substring(strip(F.col("_reply")), 1, 200), F.lit("")))
     score = F.when(chosen & F.col("_letter").isNull(), F.when(F.col("_match.how") == "exact", 100.0).when(F.col("_match.how") == "fuzzy", best)).cast("float")
     out = out.withColumns({
         "grade": kind, "ai_correct": F.coalesce(correct, F.lit(False)), "predicted_letter": F.when(chosen, F.substring(F.lit(LETTERS), at + 1, F.lit(1))),

@@ -49,6 +49,42 @@ def bootstrap_interval(cells: DataFrame, keys: list[str], iterations: int = 5000
     return cells.select(*keys, "both", "a_only", "b_only", "neither").mapInPandas(resample, schema)
 
 
+def _incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (modified Lentz)."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
+    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
+    for i in range(1000):
+        m = i // 2
+        if i == 0:
+            term = 1.0
+        elif i % 2 == 0:
+            term = m * (b - m) * x / ((a + i - 1) * (a + i))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + i - 1) * (a + i))
+        d = 1.0 / (1.0 + term * d or tiny)
+        c = 1.0 + term / c or tiny
+        f *= c * d
+        if abs(1.0 - c * d) < 1e-14:
+            break
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * (f - 1.0) / a
+
+
+@F.pandas_udf(T.DoubleType())
+def student_p(rho: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of a correlation of n pairs, by Student's t with n - 2 degrees of freedom; 0 for a perfect one, null for fewer than 3."""
+
+    def p(r: float | None, k: int) -> float | None:
+        if r is None or r != r or k < 3:
+            return None
+        return 0.0 if abs(r) >= 1.0 else _incomplete_beta((k - 2) / 2, 0.5, 1.0 - r * r)
+
+    return pd.Series([p(r, int(k)) for r, k in zip(rho, n)], dtype="float64")
+
+
 def average_rank(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
     """``counts`` (keys, value, n rows with it) with ``rank``: the mean rank of those rows."""
     w = Window.partitionBy(*keys).orderBy(value)
@@ -57,7 +93,7 @@ def average_rank(counts: DataFrame, keys: list[str], value: str, n: str) -> Data
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation of x and y for each group; NaN below 3 rows. Rows with a null are left out.
+    """Rank correlation of x and y for each group, with its two-sided p; NaN below 3 rows. Rows with a null are left out.
 
     Ranks are made from counts of distinct values, so that a group of any size is ranked by no more
     rows than it has different values.
@@ -70,4 +106,4 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     covariance = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
     spread = F.sqrt((F.col("n") * F.col("saa") - F.col("sa") ** 2) * (F.col("n") * F.col("sbb") - F.col("sb") ** 2))
     rho = F.when(F.col("n") < 3, F.lit(float("nan"))).otherwise(F.try_divide(covariance, spread))
-    return s.select(*keys, "n", rho.alias("rho"))
+    return s.select(*keys, "n", rho.alias("rho")).withColumn("p_value", F.when(F.col("n") < 3, F.lit(float("nan"))).otherwise(student_p("rho", "n")))

@@ -60,9 +60,14 @@ def normalize_answers(s: pd.Series) -> pd.Series:
     return s.map(lambda xs: None if xs is None else [comparable(x) for x in xs])
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def category_group(category: Column) -> Column:
     """What stands before the first colon."""
-    return F.trim(F.substring_index(category, ":", 1))
+    return strip(F.substring_index(category, ":", 1))
 
 
 def word_count(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Staging views, dimensions, the fact and the marts of answers.
 
 The base of every mart is the fact with one row for each (run, question): of repeated deliveries the
-one with the smallest answer_id counts, picked by an aggregate that combines before the shuffle.
+one with the smallest answer_id counts. It is made once for an application, in the scratch folder, and
+made anew when the files that it came from change; the marts only read and add up its columns.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.intervals import ratio, wilson
-from ..sources.tables import table
+from ..session import scratch
+from ..sources.tables import stamp, table
 
 catalog = Catalog()
 
@@ -23,12 +25,32 @@ EXACT, SUMMED = 9, 6
 FACT_SQL = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, question_id ORDER BY answer_id) AS rn FROM fct_answer) WHERE rn = 1)"
 
 
+_facts: dict[tuple, DataFrame] = {}
+
+
+def deduplicated(answers: DataFrame, order: str = "answer_id") -> DataFrame:
+    """``answers`` with one row for each (run, question), that of the smallest ``order``.
+
+    Only the numbers of the rows that lose are looked up: one small row for each message is shuffled, its
+    columns aren't. Null identifiers are a message like any other.
+    """
+    first = answers.groupBy("run_id", "question_id").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").withColumnsRenamed({"run_id": "_run", "question_id": "_question"})
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("question_id").eqNullSafe(F.col("_question"))
+    losers = answers.select("run_id", "question_id", order).join(first, same).where(F.col(order) > F.col("_first")).select(order)
+    return answers.join(losers, order, "left_anti").select(*answers.columns)
+
+
 def fact(spark: SparkSession, base: str, columns: list[str]) -> DataFrame:
     """The fact's ``columns``, one row for each (run, question)."""
-    rows = table(spark, base, "fct_answer")
-    rest = [c for c in columns if c not in ("run_id", "question_id")]
-    picked = rows.groupBy("run_id", "question_id").agg(F.min_by(F.struct(*rest), "answer_id").alias("_r"))
-    return picked.select(*(F.col(c) if c in ("run_id", "question_id") else F.col("_r")[c].alias(c) for c in columns))
+    key = (spark.sparkContext.applicationId, base, stamp(spark, base, "fct_answer"))
+    if key not in _facts:
+        _facts[key] = scratch(deduplicated(table(spark, base, "fct_answer")), "fact")
+    return _facts[key].select(*columns)
+
+
+def forget_facts() -> None:
+    """Have facts made anew on next use."""
+    _facts.clear()
 
 
 def median(c: str) -> Column:

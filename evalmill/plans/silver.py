@@ -70,7 +70,7 @@ LOG = "run_id question_id run_order prompt_variant prompt_version transport reas
 @catalog.add("compacted_log", f"SELECT response_id, {', '.join(LOG)} FROM (SELECT *, row_number() OVER (PARTITION BY run_id, question_id ORDER BY response_id DESC) AS rn FROM llm_responses) WHERE rn = 1")
 def compacted_log(spark: SparkSession, base: str) -> DataFrame:
     """The last logged call of each run and question."""
-    return last_wins(table(spark, base, "llm_responses").select("response_id", *LOG), ["run_id", "question_id"], "response_id")
+    return last_wins(table(spark, base, "llm_responses").select("response_id", *LOG), ["run_id", "question_id"], "response_id", numbered=True)
 
 
 @catalog.add("unmatched_log", """SELECT run_id, count(*) AS n_missing FROM (SELECT DISTINCT run_id, question_id FROM llm_responses) l

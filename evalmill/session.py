@@ -34,12 +34,15 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables, one for each application.
 
     It lies in the folder that the cluster names in ``spark.checkpoint.dir``, which every executor
-    shares. Only where that is unset (tests, local runs) a temporary folder is made.
+    shares. Where that is unset a temporary folder is made, but only for a local master: executors on other
+    machines would write to disks of their own.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-evalmill-")
             spark.sparkContext.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/evalmill-{uuid.uuid4().hex[:12]}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import question_id
 from ..session import hadoop_path
-from .schemas import MANIFEST, QUESTIONS_CSV, RESPONSES
+from .schemas import AUDIT, MANIFEST, QUESTIONS_CSV, RESPONSES
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,17 +31,22 @@ def collected_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def response_log(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """Logged calls with ``file`` and ``position``, the place of the line in its file.
+    """Logged calls with ``file`` and ``position``, a number that grows along each file.
 
-    Files are read whole, as only so a line's place is known; a log is one run's and of moderate size.
+    Files are read in splits: the position is made of the begin of a line's split and its place in it,
+    so that it orders the lines as their numbers would, at any size of a file.
     Blank lines are skipped. A malformed line fails the read, or is skipped if ``tolerant``.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("position", "line")).where(F.trim("line") != "")
+    meta = F.col("_metadata")
+    read = spark.read.text(path).select(meta["file_name"].alias("file"), meta["file_block_start"].alias("_begin"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    # Rows of a split are numbered one after another; a partition may hold several.
+    position = (F.col("_begin") + F.pmod("_row", F.lit(1 << 33))).cast("bigint")
+    lines = read.select("file", position.alias("position"), "line").where(F.col("line").rlike(r"\S"))
     mode = "PERMISSIVE" if tolerant else "FAILFAST"
     parsed = lines.select("file", "position", "line", F.from_json("line", RESPONSES + (", _bad string" if tolerant else ""), {"mode": mode, **({"columnNameOfCorruptRecord": "_bad"} if tolerant else {})}).alias("r"))
     rows = parsed.where("r._bad is null and r is not null") if tolerant else parsed
     names = [c.split()[0] for c in RESPONSES.replace("\n", " ").split(",")]
-    return rows.select("file", F.col("position").cast("bigint").alias("position"), *(F.col(f"r.{c}").alias(c) for c in names))
+    return rows.select("file", "position", *(F.col(f"r.{c}").alias(c) for c in names))
 
 
 def finished_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +56,8 @@ def finished_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def discovered_runs(spark: SparkSession, folder: str) -> DataFrame:
     """The runs that have a log, by file name."""
-    return spark.read.text(f"{folder}/*.jsonl", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1).alias("run_id")).distinct().orderBy("run_id")
+    files = spark.read.format("binaryFile").load(f"{folder}/*.jsonl").select("path")  # names only: no content is read
+    return files.select(F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("run_id")).distinct().orderBy("run_id")
 
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -70,3 +76,21 @@ def answers(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def decoded(df: DataFrame, columns: list[str], arrays: list[str] = ()) -> DataFrame:
+    """Base64 of UTF-8 texts, and of arrays of them, as texts; nulls stay."""
+    text = lambda c: F.decode(F.unbase64(c), "UTF-8")
+    return df.withColumns({c: text(F.col(c)) for c in columns} | {c: F.transform(c, text) for c in arrays})
+
+
+def selected_engines(listing: DataFrame, text: str = "value") -> DataFrame:
+    """(engine, format) of the lines of a listed table that bear a check mark: their first word and their last in capitals."""
+    fields = listing.select(F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ").alias("f"))
+    marked = fields.where((F.size("f") >= 2) & F.array_contains("f", "✓"))
+    return marked.select(F.get("f", 0).alias("engine"), F.upper(F.element_at("f", -1)).alias("format"))
+
+
+def audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """Requests as they were logged by ``append_json``; malformed lines are left out."""
+    return spark.read.schema(AUDIT).option("mode", "DROPMALFORMED").json(path)

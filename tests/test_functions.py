@@ -8,86 +8,94 @@ from pyspark.sql import functions as F
 from evalmill.functions import ids, text
 from evalmill.functions.grading import grade, likeness
 from evalmill.functions.intervals import wilson
-from evalmill.functions.tests import bootstrap_interval, mcnemar_p, spearman
+from evalmill.functions.significance import bootstrap_interval, mcnemar_p, spearman, student_p
 from evalmill.operators.sampling import quotas, sample
 from evalmill.plans.silver import clean
 
-OPTIONS = ["Aglio", "Pomodoro", "Cipolla", "Peperoncino"]
+ROCKS = ["Granite", "Basalt", "Marble slab", "Sandstone"]
+SCHEMA = "i int, content string, error string, prompt_variant string, is_truncated boolean, type string, options array<string>, correct_index int, correct_letter string, correct_answer string"
 
 
-@pytest.mark.parametrize("raw,want", [("Pomodoro", "pomodoro"), ("POMODORO!", "pomodoro"), ("The Beatles", "beatles"), ("A Clockwork Orange", "clockwork orange"), ("An Apple", "apple"), ("**Leonardo da Vinci**", "leonardo da vinci"), ("It&#039;s", "it s"), ("Beyonc&eacute;", "beyonce"), ("Café", "cafe"), ("", ""), ("   ", "")])
-def test_comparable(raw, want):
-    assert text.comparable(raw) == want
+def graded(spark, replies, kind="multiple", variant="v1_letter", error=None, truncated=False):
+    options, at, letter, right = (ROCKS, 2, "C", "Marble slab") if kind == "multiple" else (["True", "False"], 0, "A", "True")
+    rows = [(i, r, error, variant, truncated, kind, options, at, letter, right) for i, r in enumerate(replies)]
+    return grade(spark.createDataFrame(rows, SCHEMA)).orderBy("i").collect()
+
 
+def kinds(spark, replies, **kw):
+    return [r.grade if r.ai_correct == (r.grade not in ("wrong", "unparseable", "error")) else "contradiction" for r in graded(spark, replies, **kw)]
 
-def grades(spark, replies, kind="multiple", variant="v1_letter", error=None, truncated=False):
-    correct = ("Pomodoro", 1, "B", OPTIONS) if kind == "multiple" else ("False", 1, "B", ["True", "False"])
-    rows = [(i, r, error, variant, truncated, kind, correct[3], correct[1], correct[2], correct[0]) for i, r in enumerate(replies)]
-    df = spark.createDataFrame(rows, "i int, content string, error string, prompt_variant string, is_truncated boolean, type string, options array<string>, correct_index int, correct_letter string, correct_answer string")
-    return [(r.grade, r.ai_correct) for r in grade(df).orderBy("i").collect()]
 
+@pytest.mark.parametrize("raw,want", [
+    ("MARBLE", "marble"), ("the marble", "marble"), ("An old slab", "old slab"), ("slab, a", "slab"), ("*Theodora*", "theodora"), ("Stra&szlig;e", "strasse"), ("Señor Ñu", "senor nu"), ("rock\u2019n\u2019roll", "rock n roll"), ("\t\n", ""), ("ﬁne", "fine"),
+])
+def test_comparable(raw, want):
+    assert text.comparable(raw) == want and text.comparable(None) is None
 
-def expect(spark, cases, **kw):
-    flat = [(r, g, ok) for replies, g, ok in cases for r in replies]
-    got = grades(spark, [r for r, _, _ in flat], **kw)
-    assert [(r, *g) for (r, _, _), g in zip(flat, got)] == flat
 
+def test_letters_are_found_at_begin_cue_and_end(spark):
+    assert kinds(spark, ["c", "(c) obviously", "C: marble", "C-", "my answer: **c**", "So the answer is $C$", "surely C"]) == ["letter"] * 7
+    assert kinds(spark, ["d) Sandstone", "answer is (a)", "option B"]) == ["wrong"] * 3
+    assert kinds(spark, ["I would say that it is C", "Cobalt", "Dolerite"]) == ["unparseable"] * 3  # too long for a letter at the end; letters that begin words
 
-def test_multiple(spark):
-    expect(spark, [
-        (["B", "b", "B.", "B)", "(B)", "(b)", " B ", "B. Pomodoro", "B) Pomodoro", "Answer: B", "answer: B", "The answer is B", "Answer: $B$"], "letter", True),
-        (["A", "C)", "Answer: D", "A. Aglio", "Aglio"], "wrong", False),
-        (["Pomodoro", "pomodoro", "Pomodoro.", "  Pomodoro  ", "**Pomodoro**"], "exact", True),
-        (["The answer is Pomodoro", "It's Pomodoro, of course.", "Not Aglio, but Pomodoro"], "contains", True),
-        (["Pomodorro"], "fuzzy", True),
-        (["", "   ", None, "I don't know", "N/A", "Something entirely unrelated", "Not Pomodoro"], "unparseable", False),
-    ])
 
+def test_options_are_matched_whole_alike_and_inside(spark):
+    assert kinds(spark, ["marble SLAB!", "the Marble slab", " *marble slab* "]) == ["exact"] * 3
+    assert kinds(spark, ["marble slabb", "marbel slab"]) == ["fuzzy"] * 2
+    assert kinds(spark, ["I'd carve it from a marble slab", "never basalt, rather a marble slab"]) == ["contains"] * 2
+    assert kinds(spark, ["Granite", "granit e", "probably sandstone then"]) == ["wrong"] * 3
+    assert kinds(spark, ["", "\n \t", None, "no idea", "unknown", "granite or basalt", "isn't a marble slab"]) == ["unparseable"] * 7
 
-def test_structured(spark):
-    expect(spark, [
-        (['{"answer": "B"}', '{"answer":"B"}', '  {"answer": "b"}  ', 'Here you go: {"answer": "B"}'], "letter", True),
-        (['{"answer": "A"}'], "wrong", False), (['{"answer": "Pomodoro"}'], "exact", True), (["{not json", "{}"], "unparseable", False),
-    ], variant="v3_json")
 
+def test_white_space_of_any_kind_is_stripped(spark):
+    r = graded(spark, ["\n Wholly other words\u00a0\n", "\u3000Marble slab\r\n"])
+    assert r[0].predicted_text == "Wholly other words" and r[1].grade == "exact"
+    j = graded(spark, ['\n{"answer": "\\n c\\t"}\u2003', '{"answer": "\\nmarble slab"}'], variant="v3_json")
+    assert [x.grade for x in j] == ["letter", "exact"]
 
-def test_boolean(spark):
-    expect(spark, [
-        (["False", "false", "FALSE.", " False "], "exact", True), (["True", "Yes", "True, he was Austrian"], "wrong", False), (["No", "no"], "fuzzy", True),
-        (["False, he was born in Austria.", "That statement is false."], "contains", True), (["Neither true nor false", "", "I don't know"], "unparseable", False),
-    ], kind="boolean")
-    assert grades(spark, ["Some text. Answer: False"], kind="boolean", variant="v2_fewshot") == [("exact", True)]
 
+def test_json_replies(spark):
+    assert kinds(spark, ['{"answer": "c"}', 'Sure. {"answer": "C"} Bye.'], variant="v3_json") == ["letter"] * 2
+    assert kinds(spark, ['{"answer": "b", "why": "dark"}', '{"answer": "Sandstone"}'], variant="v3_json") == ["wrong"] * 2
+    assert kinds(spark, ['{"answer": ', '{"reply": "C is it"}', "[]"], variant="v3_json") == ["unparseable"] * 3
 
-def test_error_and_truncation(spark):
-    assert grades(spark, ["B"], error="TimeoutError: boom") == [("error", False)]
-    assert grades(spark, ["It's Pomodoro, of"], truncated=True) == [("unparseable", False)]
-    assert grades(spark, ["B", "Pomodoro", "Pomodorro"], truncated=True) == [("letter", True), ("exact", True), ("fuzzy", True)]
 
+def test_truth_values(spark):
+    assert kinds(spark, ["TRUE", "*true*", "Yes", "correct", "It's true that it floats"], kind="boolean") == ["exact", "exact", "fuzzy", "fuzzy", "contains"]
+    assert kinds(spark, ["f", "incorrect", "No way", "that would be false"], kind="boolean") == ["wrong"] * 4
+    assert kinds(spark, ["", "true and false", "who knows"], kind="boolean") == ["unparseable"] * 3
+    assert kinds(spark, ["It floats. Answer: true"], kind="boolean", variant="v2_fewshot") == ["exact"]
 
-def test_margin(spark):
-    rows = [(0, "abcdefghijklmnopqrstuvwxyz", None, "v1_letter", False, "multiple", ["abcdefghijklmnopqrstuvwxy", "abcdefghijklmnopqrstuvwx", "o", "p"], 0, "A", "abcdefghijklmnopqrstuvwxy")]
-    df = spark.createDataFrame(rows, "i int, content string, error string, prompt_variant string, is_truncated boolean, type string, options array<string>, correct_index int, correct_letter string, correct_answer string")
-    # Both are alike by more than 90, but not by 5 apart; the substring rule finds two.
-    assert grade(df).first().grade == "unparseable"
 
+def test_failed_calls_and_cut_replies(spark):
+    assert kinds(spark, ["C", None], error="ConnectError") == ["error"] * 2
+    assert kinds(spark, ["I'd carve it from a marble slab"], truncated=True) == ["unparseable"]
+    assert kinds(spark, ["c", "marble slab", "marble slabb"], truncated=True) == ["letter", "exact", "fuzzy"]
 
-def test_likeness():
-    assert likeness("pomodorro", "pomodoro") == pytest.approx(94.1176, abs=1e-3)
-    assert likeness("abc", "xyz") == 0 and likeness("", "") == 100
 
+def test_two_options_much_alike(spark):
+    long = "quarried in the northern valley"
+    rows = [(0, long + " s", None, "v1_letter", False, "multiple", [long, long + "s", "x", "y"], 1, "B", long + "s")]
+    assert grade(spark.createDataFrame(rows, SCHEMA)).first().grade in ("unparseable", "wrong")  # within the margin no option wins by likeness
 
-def test_identity_and_order(spark):
-    df = spark.createDataFrame([(1, "2026-09-10T12:00:00+00:00", 9, "General Knowledge", "multiple", "easy", "What is the Italian word for &quot;tomato&quot;?", "Pomodoro", '["Aglio", "Cipolla", "Peperoncino"]'),
-                                (2, "2026-09-10T12:00:00+00:00", 9, "General Knowledge", "multiple", "easy", "What is the Italian word for &quot;tomato&quot;?  ", " Pomodoro ", '["Aglio", "Cipolla", "Peperoncino"]'),
-                                (3, "2026-09-10T12:00:00+00:00", 9, "General Knowledge", "boolean", "easy", "Adolf Hitler was born in Australia. ", "False", '["True"]'),
-                                (4, "2026-09-10T12:00:00+00:00", 9, "Entertainment: Film", "multiple", "hard", "Who directed &eacute;lite?", "Beyonc&eacute;", '["A", "B", "C"]')],
-                               "raw_id bigint, scraped_at string, category_id smallint, category string, type string, difficulty string, question string, correct_answer string, incorrect_answers string")
+
+def test_likeness():
+    assert likeness("marbel", "marble") == pytest.approx(100 * 10 / 12) and likeness("ab", "yz") == 0 and likeness("", "") == 100
+
+
+def test_identifiers_come_from_content(spark):
+    day = "2026-03-01T08:30:00+00:00"
+    rows = [
+        (11, day, 17, "Science: Geology", "multiple", "medium", "Which rock is called the &quot;queen&quot; of stones?", "Marble", '["Slate", "Chalk", "Flint"]'),
+        (12, day, 17, "Science: Geology", "multiple", "medium", "  which rock is called the \"Queen\"  of stones?", "MARBLE ", '["Flint", "Slate", "Chalk"]'),
+        (13, day, None, "Science: Geology", "boolean", "easy", "Pumice floats.", "True", '["False"]'),
+        (14, day, 31, "History", "multiple", "hard", "Who carved the na&iuml;ve lion?", "Zo&euml;", '["Ada", "Bo", "Cy"]'),
+    ]
+    df = spark.createDataFrame(rows, "raw_id bigint, scraped_at string, category_id smallint, category string, type string, difficulty string, question string, correct_answer string, incorrect_answers string")
     got = {r.question: r for r in clean(df).collect()}
-    assert set(got) == {'What is the Italian word for "tomato"?', "Adolf Hitler was born in Australia.", "Who directed élite?"}
-    assert got["Adolf Hitler was born in Australia."].options == ["True", "False"] and got["Adolf Hitler was born in Australia."].correct_letter == "B"
-    assert {r.category_group for r in got.values()} == {"General Knowledge", "Entertainment"}
-    assert all(r.options[r.correct_index] == r.correct_answer and len(r.question_id) == 64 for r in got.values())
+    assert set(got) == {'Which rock is called the "queen" of stones?', "Pumice floats.", "Who carved the naïve lion?"}
+    assert got["Pumice floats."].options == ["True", "False"] and got["Pumice floats."].correct_letter == "A" and got["Who carved the naïve lion?"].correct_answer == "Zoë"
+    assert all(r.options[r.correct_index] == r.correct_answer and len(r.question_id) == 64 and r.category_group in ("Science", "History") for r in got.values())
 
 
 def test_shuffle_is_uniform(spark):
@@ -97,10 +105,10 @@ def test_shuffle_is_uniform(spark):
 
 
 def test_hashes_and_words(spark):
-    r = spark.range(1).select(ids.prompt_hash(F.lit(None).cast("string"), F.lit("u")).alias("h"), text.word_count(F.lit("")).alias("none"), text.word_count(F.lit(" a b  c ")).alias("three"), text.category_group(F.lit("Entertainment: Film")).alias("g"), text.escape_html(F.lit('<a & "b">')).alias("e")).first()
+    r = spark.range(1).select(ids.prompt_hash(F.lit(None).cast("string"), F.lit("u")).alias("h"), text.word_count(F.lit("")).alias("none"), text.word_count(F.lit(" a b  c ")).alias("three"), text.category_group(F.lit("Science: Geology ")).alias("g"), text.escape_html(F.lit('<a & "b">')).alias("e")).first()
     import hashlib
 
-    assert r.h == hashlib.sha256(b"\0u").hexdigest() and r.none == 0 and r.three == 3 and r.g == "Entertainment" and r.e == "&lt;a &amp; &quot;b&quot;&gt;"
+    assert r.h == hashlib.sha256(b"\0u").hexdigest() and r.none == 0 and r.three == 3 and r.g == "Science" and r.e == "&lt;a &amp; &quot;b&quot;&gt;"
 
 
 def test_wilson(spark):
@@ -126,14 +134,23 @@ def test_spearman(spark):
     assert got["a"] == pytest.approx(1.0) and math.isnan(got["b"])
 
 
-def test_quotas_are_exact():
-    sizes = {("a",): 100, ("b",): 7, ("c",): 1, ("d",): 1}
+def test_quotas_are_exact(spark):
+    sizes = {"a": 100, "b": 7, "c": 1, "d": 1}
+    strata = spark.createDataFrame(list(sizes.items()), "k string, n bigint")
     for n in (4, 5, 20, 60, 108):
-        q = quotas(sizes, n)
+        q = {r.k: r.take for r in quotas(strata, n, ["k"]).collect()}
         assert sum(q.values()) == n and all(1 <= q[k] <= sizes[k] for k in sizes)
-    assert quotas(sizes, 500) == sizes
+    assert {r.k: r.take for r in quotas(strata, 500, ["k"]).collect()} == sizes
     with pytest.raises(ValueError):
-        quotas(sizes, 3)
+        quotas(strata, 3, ["k"])
+    many = spark.range(300).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") == 0, 100).otherwise(1).cast("bigint").alias("n"))
+    assert quotas(many, 310, ["k"]).agg(F.sum("take"), F.min("take")).first()[:] == (310, 1)
+
+
+def test_student_p(spark):
+    rows = [(0.5, 3, 2 / 3), (0.0, 10, 1.0), (1.0, 5, 0.0), (-0.6, 10, 0.0667), (0.3, 100, 0.00242), (float("nan"), 2, math.nan)]
+    got = [r.p for r in spark.createDataFrame([r[:2] for r in rows], "rho double, n int").select(student_p("rho", "n").alias("p")).collect()]
+    assert got[-1] is None and got[:-1] == pytest.approx([w for _, _, w in rows[:-1]], abs=1e-4)
 
 
 def test_sample(spark, small):
