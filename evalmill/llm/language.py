@@ -13,12 +13,14 @@ for those that are far more frequent under another label: texts quote other lang
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,9 +83,16 @@ def words(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+@functools.lru_cache(maxsize=100_000)
+def _script(c: str) -> str:
+    return unicodedata.name(c, " ").split(" ")[0] if c.isalpha() else ""
+
+
 def script(text: str) -> Counter:
     """Letters by script, as the first word of their names tells it."""
-    return Counter(unicodedata.name(c, " ").split(" ")[0] for c in text if c.isalpha())
+    if text.isascii():
+        return Counter({"LATIN": sum(map(str.isalpha, text))})
+    return Counter(x for x in map(_script, text) if x)
 
 
 def code(label):
@@ -93,30 +102,80 @@ def code(label):
 
 
 class Letters:
-    """Probabilities of words by contexts of up to ``order - 1`` letters."""
-
-    def __init__(self, counts: dict[str, int], order: int, base: Letters | None = None):
-        self.order, self.base, self.following = order, base, defaultdict(Counter)
-        for w, k in counts.items():
-            weight, s = math.sqrt(k), f"^{w}$"  # words of a frequent sentence mustn't outweigh all others
-            for i in range(1, len(s)):
-                for o in range(min(order, i + 1)):
-                    self.following[s[i - o : i]][s[i]] += weight
-        self.totals = {c: (sum(f.values()), len(f)) for c, f in self.following.items()}
-
-    def p(self, s: str, i: int) -> float:
-        p = self.base.p(s, i) if self.base else 1 / 500
-        for o in range(min(self.order, i + 1)):
-            context = s[i - o : i]
-            if context not in self.totals:
-                break
-            total, kinds = self.totals[context]
-            p = (self.following[context].get(s[i], 0) + kinds * p) / (total + kinds)
-        return p
+    """Probabilities of words in several languages at once, by contexts of up to ``orders[language] - 1`` letters.
+
+    Of each context there is one vector of what it leaves to shorter ones and, for each letter that
+    follows, one of what that has of it; ``base`` gives what is left in the end.
+    """
 
-    def log(self, word: str) -> float:
+    def __init__(self, counts: dict[str, dict[str, int]], orders: dict[str, int], base: Letters | None = None):
+        self.names, self.base = list(counts), base
+        following: dict[str, dict[str, np.ndarray]] = {}
+        for column, name in enumerate(self.names):
+            for w, k in counts[name].items():
+                weight, s = math.sqrt(k), f"^{w}$"  # words of a frequent sentence mustn't outweigh all others
+                for i in range(1, len(s)):
+                    for o in range(min(orders[name], i + 1)):
+                        vectors = following.setdefault(s[i - o : i], {})
+                        if s[i] not in vectors:
+                            vectors[s[i]] = np.zeros(len(self.names))
+                        vectors[s[i]][column] += weight
+        self.left, self.of = {}, {}
+        for context, vectors in following.items():
+            stacked = np.array(list(vectors.values()))
+            kinds = (stacked > 0).sum(axis=0)
+            total = np.where(kinds, stacked.sum(axis=0) + kinds, 1.0)
+            self.left[context] = np.where(kinds, kinds / total, 1.0)
+            self.of.update({(context, c): v / total for c, v in vectors.items()})
+        self.longest = max(orders.values(), default=0)
+        self._rows: dict[str, int] = {}
+        self._kept = np.empty((1024, 2, len(self.names)))
+
+    def steps(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities by all contexts, and by those of one letter at most. What a letter has behind a context is kept."""
         s = f"^{word}$"
-        return sum(math.log(self.p(s, i)) for i in range(1, len(s)))
+        k = self.longest - 1
+        rows = [self._row(s[max(0, i - k) : i + 1]) for i in range(1, len(s))]
+        both = self._kept[rows].sum(axis=0)
+        return both[0], both[1]
+
+    def _row(self, window: str) -> int:
+        at = self._rows.get(window)
+        if at is None:
+            if len(self._rows) == len(self._kept):
+                self._kept = np.concatenate([self._kept, np.empty_like(self._kept)])
+            at = self._rows[window] = len(self._rows)
+            self._kept[at] = self._logs(window)
+        return at
+
+    def _logs(self, s: str) -> np.ndarray:
+        i = len(s) - 1
+        p = short = np.full(len(self.names), self.base.steps_of(s[-2:])[0] if self.base else 1 / 500)
+        for o in range(min(self.longest, i + 1)):
+            left = self.left.get(s[i - o : i])
+            if left is None:
+                break
+            p = p * left
+            of = self.of.get((s[i - o : i], s[i]))
+            if of is not None:
+                p = p + of
+            if o < 2:
+                short = p
+        return np.log(np.stack([p, short]))
+
+    def steps_of(self, s: str) -> list[float]:
+        """Probabilities of the letters of a word between its marks, for a single language."""
+        out = []
+        for i in range(1, len(s)):
+            p = 1 / 500
+            for o in range(min(self.longest, i + 1)):
+                left = self.left.get(s[i - o : i])
+                if left is None:
+                    break
+                of = self.of.get((s[i - o : i], s[i]))
+                p = p * left[0] + (0.0 if of is None else of[0])
+            out.append(float(p))
+        return out
 
 
 class LanguageModel:
@@ -130,52 +189,67 @@ class LanguageModel:
                 mine[w] = mine.get(w, 0) + 9
         labelled = {k: sum(v.values()) for k, v in self.counts.items() if k != NAMES}
         self.usual = max(labelled, key=lambda k: (labelled[k], k == "en", k))
-        self._models: dict[str, Letters] = {}
+        self._letters: Letters | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_models": {}}
+        return {"counts": self.counts, "usual": self.usual, "_letters": None}
 
-    def models(self) -> dict[str, Letters]:
-        if not self._models:
+    def letters(self) -> Letters:
+        if self._letters is None:
             both: Counter = Counter()
             foreign: Counter = Counter()
             for k, v in self.counts.items():
                 both.update(v)
                 if k not in (NAMES, self.usual):
                     foreign.update(v)
-            self._all = Letters(both, 2)
-            self._names = Letters(self.counts.get(NAMES, {}), 3, self._all)
-            models = {k: Letters(v, 5, self._all) for k, v in self.counts.items() if k != NAMES}
-            self._pairs = {k: Letters(v, 2, self._all) for k, v in self.counts.items() if k != NAMES} | {OTHER: Letters(foreign, 2, self._all)}
-            self._models = models | {OTHER: Letters(foreign, 3, self._all)}
+            columns = {k: v for k, v in self.counts.items() if k != NAMES} | {OTHER: foreign, NAMES: self.counts.get(NAMES, {})}
+            self._all = Letters({"all": both}, {"all": 2})
+            self._letters = Letters(columns, {k: 3 if k in (OTHER, NAMES) else 5 for k in columns}, self._all)
+            self._languages = self._letters.names[:-1]
+            self._place = {k: i for i, k in enumerate(self._languages)}
             self._memo: dict = {}
-        return self._models
+        return self._letters
 
-    def log(self, word: str, capital: bool) -> dict[str, float]:
-        """Log probability of a word in each language."""
-        models, key = self.models(), (word, capital)
-        if key not in self._memo:
+    def log(self, word: str, capital: bool) -> np.ndarray:
+        """Log probabilities of a word in each language, in the order of ``languages``."""
+        letters, key = self.letters(), (word, capital)
+        found = self._memo.get(key)
+        if found is None:
             if len(self._memo) > 200_000:
                 self._memo.clear()
+            if len(letters._rows) > 200_000:
+                letters._rows.clear()
+            full, short = (np.maximum(x, -600.0) for x in letters.steps(word))
             share = NAME_SHARE[capital]
-            name = share * math.exp(max(self._names.log(word), self._all.log(word), -600.0))
-            of = lambda m: math.exp(max(m.log(word), -600.0))
-            self._memo[key] = {k: math.log((1 - share - SLIP_SHARE) * of(m) + SLIP_SHARE * of(self._pairs[k]) + name) for k, m in models.items()}
-        return self._memo[key]
+            name = share * math.exp(max(full[-1], sum(map(math.log, self._all.steps_of(f"^{word}$"))), -600.0))
+            found = self._memo[key] = np.log((1 - share - SLIP_SHARE) * np.exp(full[:-1]) + SLIP_SHARE * np.exp(short[:-1]) + name)
+        return found
+
+    def gains(self, word: str, capital: bool, base: str) -> np.ndarray:
+        """Log-odds of a word in each language against ``base``."""
+        p = self.log(word, capital)
+        return p - p[self._place[base]]
+
+    def languages(self) -> list[str]:
+        self.letters()
+        return self._languages
 
     def compare(self, said: list[tuple[str, bool]], base: str) -> tuple[str, float]:
         """The language that fits best, and its log-odds against ``base``."""
-        total: Counter = Counter()
-        for w, capital in said:
-            total.update(self.log(w, capital))
-        if not total:
+        if not said:
             return base, 0.0
-        best = max(total, key=lambda k: (total[k], k == base))
-        return best, total[best] - total[base]
+        total = sum(self.gains(w, c, base) for w, c in said)
+        best = int(np.argmax(total))
+        return (self._languages[best], float(total[best])) if total[best] > 0 else (base, 0.0)
 
     def most(self, said: list[tuple[str, bool]], base: str) -> float:
         """No choice of some of these words has higher log-odds against ``base``."""
-        return sum(max(0.0, max(p.values()) - p[base]) for p in (self.log(w, c) for w, c in said))
+        return sum(float(self.gains(w, c, base).max()) for w, c in said)
+
+    def telling(self, said: list[tuple[str, bool]], language: str, base: str) -> int:
+        """How many of these words speak for a language."""
+        at = self.languages().index(language)
+        return sum(bool(self.gains(w, c, base)[at] > 0.5) for w, c in said)
 
     def of(self, text: str) -> str:
         """The language of a text; the usual one if nothing tells otherwise."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch
+from ..session import scratch, spread, tasks
 from .canonical import fold
 from .language import LanguageModel, script, words
 from .truncation import is_open_json, truncated_replies
@@ -64,6 +64,9 @@ CLASSES |= {
     "me": frozenset("me us my".split()), "possible": frozenset("possible available accessible feasible".split()),
     "than": frozenset(("than",)), "way": frozenset("way means method chance hope".split()),
 }
+#: Every template has a place of one of these classes: a reply without such a word aligns with none.
+KEYS = ("not", "cannot", "unsure", "beyond", "more", "than")
+KEY_WORDS = frozenset().union(*(CLASSES[k] for k in KEYS))
 #: Replies that decline only where they are all that is said.
 ALONE = frozenset("pass skip dunno unknown none sorry no idea clue comment answer next question sure not thanks thank you please".split())
 DECLINES = ({"pass"}, {"skip"}, {"dunno"}, {"unknown"}, {"comment"}, {"sorry", "no"}, {"no", "answer"})
@@ -150,8 +153,12 @@ def aligned(t: list[str]) -> list[bool]:
 
 def declining(text: str, question: str = "") -> tuple[bool, str]:
     """(whether a reply declines, what it says beside that); words of the question that it gives back are left out."""
+    text = text.replace("’", "'")
+    plain = tokens(text)
+    if not (KEY_WORDS.intersection(plain) or "n/a" in text.lower().replace(" ", "") or any(w.endswith(("nt", "n't")) for w in plain)) and (len(plain) > 6 or not ALONE.issuperset(plain)):
+        return False, text
     for pattern, to in JOINED:
-        text = pattern.sub(to, text.replace("’", "'"))
+        text = pattern.sub(to, text)
     q = tokens(question)
     given, rest, declines, n = shingles(q, 4) if len(q) > 3 else set(), [], False, 0
     for m in SENTENCE.finditer(text):
@@ -249,6 +256,8 @@ falsk prawda fałsz pravda nepravda doğru yanlış adevărat igaz hamis totta o
 
 def foreign_script(text: str, question: str) -> bool:
     """Whether a tenth of a text's letters, and two at least, are of a script that its question has none of."""
+    if text.isascii() and question.isascii():
+        return False
     mine, asked = script(text), script(question)
     foreign = sum(n for s, n in mine.items() if s not in asked and s not in ("LATIN", "MODIFIER", "FEMININE", "MASCULINE") and s)
     if not asked and not foreign:
@@ -270,8 +279,7 @@ def own_words(text: str, question: str, options: list[str], model: LanguageModel
     for i, (w, capital) in enumerate(said_):
         if w in exact:
             continue
-        p = model.log(w, capital)
-        if max(p.values()) - p[base] > 1:
+        if model.gains(w, capital, base).max() > 1:
             pieces = [w, w + said_[i + 1][0] if i + 1 < len(said_) else w, said_[i - 1][0] + w if i else w]
             if any(near(x, n, max(1, (len(n) + (j == 0)) // (3 + (j > 0)))) for j, x in enumerate(pieces) for n in names if len(n) > 2) or len(w) < 4 and any(x in s for x in pieces[1:] if len(x) > 4 for s in squeezed):
                 continue
@@ -290,8 +298,7 @@ def spoken(text: str, question: str, options: list[str], model: LanguageModel, m
     if base == "en" and options and all(o.lower() in VERDICTS for o in options) and len(own) <= 3 and any(w in VERDICT_WORDS or w.partition("'")[2] in VERDICT_WORDS for w, _ in own):
         return "other"
     best, odds = model.compare(own, base)
-    telling = sum(1 for p in (model.log(w, c) for w, c in own) if p[best] - p[base] > 0.5)
-    return best.strip("-") if odds > FOREIGN[min(telling, 3)] and best != base else None
+    return best.strip("-") if best != base and odds > FOREIGN[min(model.telling(own, best, base), 3)] else None
 
 
 def at_once(question: str | None, answer: str | None, model: LanguageModel, memo: dict) -> str | None:
@@ -368,16 +375,19 @@ def defective_pairs(rows: DataFrame, id_col: str, question_col: str, answer_col:
                 asked.clear()
             yield pd.Series([with_options(q, a, [x for x in o if x] if o is not None else [], m, asked) for q, a, o in zip(questions_, answers, options_)], dtype="object")
 
+    # Else a filter on what they give would have Spark call them twice.
+    first_look, second_look = first_look.asNondeterministic(), second_look.asNondeterministic()
     if cut is None:
         cut = truncated_replies(rows.select(id_col, question_id, F.col(answer_col).alias("_text"), prior_col), "_text", question_id, prior_col, questions)
     cut = cut.select(id_col, F.lit("truncated").alias("defect"))
     last = lambda c: F.regexp_extract(F.lower(c), r"(?U)(\w+)\W*$", 1)
-    seen = rows.select(F.col(id_col).alias("_id"), F.col(question_id).alias("_qid"), F.col(question_col).alias("_q"), F.col(answer_col).alias("_a"), first_look(question_col, answer_col).alias("_d")).where("_d is not null")
+    seen = spread(rows, id_col).select(F.col(id_col).alias("_id"), F.col(question_id).alias("_qid"), F.col(question_col).alias("_q"), F.col(answer_col).alias("_a"), first_look(question_col, answer_col).alias("_d")).where("_d is not null")
     seen = scratch(seen, "seen")
     known = questions.select(F.col(question_id).alias("_qid"), F.col("options").alias("_options"))
-    asked = seen.where("_d = '?'").join(known, "_qid", "left").withColumn("_d", second_look("_q", "_a", "_options")).where("_d is not null")
+    # Whatever Spark takes its size for, it is work for all cores.
+    asked = seen.where("_d = '?'").join(known, "_qid", "left").repartition(tasks(rows.sparkSession), "_id").withColumn("_d", second_look("_q", "_a", "_options")).where("_d is not null")
     both = seen.where("_d <> '?'").unionByName(asked.select(*seen.columns))
-    other = scratch(both.select(F.col("_id").alias(id_col), F.col("_d").alias("defect"), (last("_q") == last("_a")).alias("_whole")), "other")
+    other = scratch(both.select(F.col("_id").alias(id_col), F.col("_d").alias("defect"), F.when(F.col("_d") == "copied_question", last("_q") == last("_a")).alias("_whole")), "other")
     # A question that is given back to its last word isn't cut, however unusual an end that is.
     whole = other.where("defect = 'copied_question' and _whole").select(id_col).distinct()
     cut = scratch(cut.join(whole, id_col, "left_anti"), "cut")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.llm.language import LanguageModel, fit_languages
-from evalmill.llm.pairs import at_once, defect, defective_pairs, is_copy, is_refusal, lcs, with_options
+from evalmill.llm.pairs import KEYS, TEMPLATES, at_once, defect, defective_pairs, is_copy, is_refusal, lcs, with_options
 from evalmill.llm.truncation import contexts, core, cut_name, is_open_json, prior_odds, truncated_replies, typed_name
 
 QUESTION = "Which place lent its name to the Kerola marathon's half-way mark?"
@@ -129,6 +129,10 @@ def test_held_out_refusals(model):
     assert share(ANSWERED, "refusal", model) <= 0.1
 
 
+def test_every_template_has_a_key():
+    assert all(set(KEYS).intersection(places) for places, _ in TEMPLATES)
+
+
 def test_held_out_languages(model):
     assert share(FOREIGN, "other_language", model) >= 0.9
     assert share(UNKNOWN, "other_language", model) >= 0.75
