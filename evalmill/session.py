@@ -78,3 +78,16 @@ def scratch(df: DataFrame, label: str = "t", partition_by: list[str] | None = No
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that costs far more than moving its rows."""
+    return max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` moved by a hash of ``by`` to enough tasks to keep all cores busy.
+
+    A compressed file of a few MB, one row group and so one task, holds rows whose judging takes minutes.
+    """
+    return df.repartition(tasks(df.sparkSession), *by)
