@@ -1,14 +1,13 @@
 """Fill containers of fixed capacity with items, neighbours by content together.
 
 A document's hashed token vector is projected to four dimensions, whose place on a Hilbert curve is
-its key. Items are range-sorted by key and each range is packed on its own, block by block along the
-curve: the items of a block from the largest to the smallest, each into the fullest open container
-that has room. Containers stay open over blocks until they are the fullest of too many.
+its key. Items are range-sorted by key and each range is packed on its own, container by container along the
+curve: the first item that is left, and of the next few those that fill its container best. The
+window widens, up to ``WINDOW`` items, only as long as too much room would be left, so that a container holds neighbours.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +20,10 @@ from pyspark.sql import types as T
 from ..session import scratch
 
 DIMENSIONS, BITS, BUCKETS = 4, 8, 4096
+#: Items among which a container's are chosen: the most, and how many at first; the share of its capacity that is enough.
+WINDOW, NEAR, ENOUGH = 256, 16, 0.99
+#: Parts of a capacity in which room is counted; sizes are rounded up to them.
+UNITS = 8192
 
 
 def hilbert(axes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -62,31 +65,54 @@ def curve_key(ids: list[np.ndarray], projection: np.ndarray) -> np.ndarray:
     return hilbert(grid)
 
 
-class Packer:
-    """Open containers, kept in the order of the room they have."""
-
-    def __init__(self, capacity: int, most_open: int):
-        self.capacity, self.most, self.open, self.made = capacity, most_open, [], 0
-
-    def container(self) -> int:
-        self.made += 1
-        return self.made - 1
-
-    def put(self, size: int) -> int:
-        k = bisect_left(self.open, (size, -1))
-        if k < len(self.open):
-            room, c = self.open.pop(k)
-        else:
-            room, c = self.capacity, self.container()
-        if room > size or not size:
-            insort(self.open, (room - size, c))
-        if len(self.open) > self.most:
-            self.open.pop(0)
-        return c
+def fullest(sizes: list[int], capacity: int) -> list[int]:
+    """Places of items that fill ``capacity`` best, the first among them; early ones where several do as well."""
+    reach = [1 << sizes[0]]  # bit k: some of the items so far, with the first, have size k
+    limit = (1 << capacity + 1) - 1
+    for x in sizes[1:]:
+        reach.append(reach[-1] | reach[-1] << x & limit)
+    left = reach[-1].bit_length() - 1
+    chosen = []
+    for i in range(len(sizes) - 1, 0, -1):
+        if not reach[i - 1] >> left & 1:
+            chosen.append(i)
+            left -= sizes[i]
+    return [0, *reversed(chosen)]
 
 
-def pack_along_curve(items: DataFrame, id_col: str, capacity: int, block: int = 4096, most_open: int = 256, n_parts: int | None = None) -> DataFrame:
-    """(id, piece, n_tokens, container_id) of ``items`` (id, size, key).
+class Packer:
+    """Fills containers from a queue of (item, size), in order but for what fits better."""
+
+    def __init__(self, capacity: int, window: int = WINDOW):
+        self.capacity, self.window, self.unit = capacity, window, max(1, capacity // UNITS)
+        self.queue: list[tuple[int, int]] = []
+        self.empty: list[int] = []
+
+    def add(self, item: int, size: int) -> None:
+        (self.queue.append((item, size)) if size else self.empty.append(item))
+
+    def containers(self, last: bool = False) -> Iterator[list[int]]:
+        """Items of the next containers: as long as the window is full, or until none are left. Items of no size go with any."""
+        room = self.capacity // self.unit
+        while self.queue and (last or len(self.queue) >= self.window):
+            n = min(NEAR, self.window)
+            while True:
+                chosen = fullest([-(-size // self.unit) for _, size in self.queue[:n]], room)
+                if n >= min(self.window, len(self.queue)) or sum(self.queue[i][1] for i in chosen) >= ENOUGH * self.capacity:
+                    break
+                n = min(n * 2, self.window)
+            found = [self.queue[i][0] for i in chosen]
+            for i in reversed(chosen):
+                del self.queue[i]
+            yield found + self.empty
+            self.empty = []
+        if last and self.empty:
+            yield self.empty
+            self.empty = []
+
+
+def pack_along_curve(items: DataFrame, id_col: str, capacity: int, window: int = WINDOW, n_parts: int | None = None, with_key: bool = False) -> DataFrame:
+    """(id, piece, n_tokens, container_id) of ``items`` (id, size, key); with the key too, if asked for.
 
     A piece is a whole item, or a part of one that exceeds the capacity: all parts but the last fill a
     container each. Items of size 0 or null take no room, but are assigned too. Ranges of equal keys
@@ -96,27 +122,55 @@ def pack_along_curve(items: DataFrame, id_col: str, capacity: int, block: int =
     if capacity < 1:
         raise ValueError("capacity must be positive")
     n = n_parts or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([T.StructField(id_col, items.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("container_id", T.LongType())])
+    fields = [T.StructField(id_col, items.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("container_id", T.LongType())]
+    schema = T.StructType([*fields, *([T.StructField("key", T.LongType())] if with_key else [])])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = TaskContext.get().partitionId() << 40
-        packer = Packer(capacity, most_open)
+        base, made = TaskContext.get().partitionId() << 40, 0
+        packer = Packer(capacity, window)
+        waiting: dict[int, tuple] = {}  # of items that aren't placed yet
+        number = 0
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            ids, piece, size, container, key = zip(*rows)
+            out = {id_col: list(ids), "piece": piece, "n_tokens": size, "container_id": container}
+            return pd.DataFrame(out | ({"key": key} if with_key else {}))
+
+        def place(last: bool) -> list[tuple]:
+            nonlocal made
+            rows = []
+            for found in packer.containers(last):
+                for i in found:
+                    id_, piece, size, key = waiting.pop(i)
+                    rows.append((id_, piece, size, base + made, key))
+                made += 1
+            return rows
+
         for b in batches:
-            for at in range(0, len(b), block):
-                part = b.iloc[at : at + block]
-                ids, sizes = part[id_col].tolist(), part["size"].fillna(0).astype("int64").tolist()
-                rows = []
-                for i in sorted(range(len(ids)), key=lambda i: (-(sizes[i] % capacity if sizes[i] > capacity else sizes[i]), i)):
-                    piece, left = 0, sizes[i]
-                    while left > capacity:
-                        rows.append((i, piece, capacity, packer.container()))
-                        piece, left = piece + 1, left - capacity
-                    rows.append((i, piece, left, packer.put(left)))
-                where, piece, size, container = zip(*rows)
-                yield pd.DataFrame({id_col: part[id_col].iloc[list(where)].to_numpy(), "piece": piece, "n_tokens": size, "container_id": [base + c for c in container]})
+            rows = []
+            for id_, size, key in zip(b[id_col].tolist(), b["size"].fillna(0).astype("int64").tolist(), b["key"].tolist()):
+                piece = 0
+                while size > capacity:
+                    rows.append((id_, piece, capacity, base + made, key))
+                    made, piece, size = made + 1, piece + 1, size - capacity
+                waiting[number] = (id_, piece, size, key)
+                packer.add(number, size)
+                number += 1
+                if len(packer.queue) >= 4 * window:
+                    rows += place(False)
+            if rows:
+                yield frame(rows)
+        if rows := place(True):
+            yield frame(rows)
 
     ordered = items.repartitionByRange(n, "key", F.xxhash64(id_col)).sortWithinPartitions("key", F.xxhash64(id_col))
-    return scratch(ordered.select(id_col, "size").mapInPandas(pack, schema), "packed")
+    return scratch(ordered.select(id_col, "size", "key").mapInPandas(pack, schema), "packed")
+
+
+def neighbourhood(packed: DataFrame, capacity: int) -> DataFrame:
+    """(n_containers, fill, spread) of pieces with their keys: the share of room used, and the mean width of the keys in a container of two items or more."""
+    each = packed.groupBy("container_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("used"), (F.max("key") - F.min("key")).alias("width"))
+    return each.agg(F.count("*").alias("n_containers"), (F.sum("used") / (F.count("*") * F.lit(float(capacity)))).alias("fill"), F.avg(F.when(F.col("n") > 1, F.col("width"))).alias("spread"))
 
 
 def with_curve_key(encoded: DataFrame, id_col: str, seed: int = 7) -> DataFrame:

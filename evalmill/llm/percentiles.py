@@ -95,7 +95,10 @@ def select_exactly(keys: DataFrame, targets: DataFrame, sets: list[dict[str, str
     """
     targets = scratch(targets, "targets")
     wanted = targets.select("_g", "parent").distinct()
-    long = keys.select(_groups(sets), "_bits", F.shiftright("_bits", 64 - DIGIT).alias("parent"))
+    # Rows outside every group's bins go before they are multiplied by their groups; there are at most 2^16 bins.
+    parents = F.broadcast(wanted.select("parent").distinct())
+    inside = keys.withColumn("parent", F.shiftright("_bits", 64 - DIGIT)).join(parents, "parent", "left_semi")
+    long = inside.select(_groups(sets), "_bits", "parent")
     rest = scratch(long.join(wanted, ["_g", "parent"], "left_semi").groupBy("_g", "_bits").agg(F.count("*").alias("n")), "survivors")
     for k in range(2, DIGITS + 1):
         at, up = 64 - DIGIT * k, 64 - DIGIT * (k - 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .canonical import canonical_entries
 from .encoding import encode_corpus
 from .formatting import collapse, further_copies
 from .language import fit_languages
-from .packing import pack_along_curve, with_curve_key
+from .packing import neighbourhood, pack_along_curve, with_curve_key
 from .pairs import defective_pairs
 from .personal import find_personal, learned_names, redacted
 from .truncation import prior_odds, truncated_replies
@@ -58,10 +60,11 @@ def _wide(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("_g.*", "n", *names.values())
 
 
-def _daily(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """The values as ordered integers, and their summaries for each run, variant, batch and day."""
+def _daily(spark: SparkSession, base: str, again: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The values as ordered integers, written once if they are read ``again``, and their summaries for each run, variant, batch and day."""
     rows = table(spark, base, "fct_answer").withColumn("day", F.to_date("called_at"))
-    keys = scratch(radix.encoded(rows, [*BY, "day"], "response_time"), "bits")
+    keys = radix.encoded(rows, [*BY, "day"], "response_time")
+    keys = scratch(keys, "bits") if again else keys
     return keys, scratch(radix.summarise(keys, [*BY, "day"]), "daily")
 
 
@@ -81,7 +84,7 @@ def p2_summaries(spark: SparkSession, base: str) -> DataFrame:
 @catalog.add("p2_percentiles", P2_SQL)
 def p2_percentiles(spark: SparkSession, base: str) -> DataFrame:
     """Exact: the merged summaries tell which bins to follow to the last digit."""
-    keys, daily = _daily(spark, base)
+    keys, daily = _daily(spark, base, again=True)
     return _wide(radix.select_exactly(keys, radix.first_digit(radix.merge(daily, BY), SETS, QUANTILES), SETS), ["value"])
 
 
@@ -107,10 +110,25 @@ def p7_ids(spark: SparkSession, base: str) -> DataFrame:
 CAPACITY = 2048
 
 
+def _sized(spark: SparkSession, base: str) -> DataFrame:
+    return scratch(with_curve_key(encode_corpus(table(spark, base, "documents"), "doc_id", "text"), "doc_id"), "sized")
+
+
 @catalog.add("p8_packed")
 def p8_packed(spark: SparkSession, base: str) -> DataFrame:
-    sized = scratch(with_curve_key(encode_corpus(table(spark, base, "documents"), "doc_id", "text"), "doc_id"), "sized")
-    return pack_along_curve(sized, "doc_id", CAPACITY)
+    return pack_along_curve(_sized(spark, base), "doc_id", CAPACITY)
+
+
+@catalog.add("p8_quality")
+def p8_quality(spark: SparkSession, base: str) -> DataFrame:
+    """How full containers are and how close their items lie on the curve, beside items packed in random order and beside whole ranges."""
+    sized = _sized(spark, base)
+    along = pack_along_curve(sized, "doc_id", CAPACITY, with_key=True)
+    mixed = sized.withColumn("key", F.xxhash64("doc_id"))
+    random = pack_along_curve(mixed, "doc_id", CAPACITY).join(sized.select("doc_id", "key"), "doc_id")
+    ranges = along.withColumn("container_id", F.shiftright("container_id", 40))
+    rows = (neighbourhood(d, CAPACITY).select(F.lit(n).alias("packed"), "n_containers", F.when(F.lit(n != "ranges"), F.col("fill")).alias("fill"), "spread") for n, d in (("curve", along), ("random", random), ("ranges", ranges)))
+    return reduce(DataFrame.unionByName, rows)
 
 
 @catalog.add("p8_containers")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.llm.encoding import Pieces, cut, encode_corpus
-from evalmill.llm.packing import hilbert, pack_along_curve, with_curve_key
+from evalmill.llm.packing import fullest, hilbert, neighbourhood, pack_along_curve, with_curve_key
 from evalmill.llm.tokenizers import FOLDER, ranked
 
 NAME = "byte_bpe_50k"
@@ -125,3 +125,21 @@ def test_equal_texts_have_equal_keys(spark):
     enc = spark.createDataFrame([(1, [5, 6]), (2, [5, 6]), (3, [])], "doc_id int, ids array<int>")
     k = {r.doc_id: r.key for r in with_curve_key(enc, "doc_id").collect()}
     assert k[1] == k[2]
+
+
+def test_fullest():
+    assert fullest([3, 9, 4, 2, 4], 10) == [0, 2, 3] and fullest([5], 10) == [0] and fullest([10, 1], 10) == [0]
+    from itertools import combinations
+
+    sizes = [7, 3, 8, 5, 9, 2]
+    best = max(sum(c) + 7 for k in range(6) for c in combinations(sizes[1:], k) if sum(c) + 7 <= 21)
+    assert sum(sizes[i] for i in fullest(sizes, 21)) == best
+
+
+def test_containers_hold_neighbours(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(700)) + 5).cast("int").alias("size"), (F.col("id") * 1000).alias("key"))
+    along = neighbourhood(pack_along_curve(df, "doc_id", 2048, n_parts=2, with_key=True), 2048).first()
+    random = neighbourhood(pack_along_curve(df.withColumn("key", F.xxhash64("doc_id")), "doc_id", 2048, n_parts=2).join(df.select("doc_id", "key"), "doc_id"), 2048).first()
+    assert along.fill > 0.97 and random.fill > 0.97 and along.spread * 20 < random.spread
+    big = pack_along_curve(df.withColumn("size", F.col("size") * 1000), "doc_id", 2_048_000, n_parts=2)
+    assert big.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where("n > 2048000").count() == 0 and big.count() == 4000
