@@ -173,7 +173,7 @@ def p4_shares(spark: SparkSession, base: str) -> DataFrame:
     """The share of truncated replies among those with a content, by run, model and transport."""
     rows = table(spark, base, "llm_responses").select("response_id", "run_id", "transport", "question_id", F.col("content").alias("text"), "finish_reason", "max_tokens", "completion_tokens")
     cut = _truncated(spark, base, rows).groupBy("run_id", "transport").agg(F.count("*").alias("n_truncated"))
-    all_ = rows.groupBy("run_id", "transport").agg(F.count("*").alias("n"), F.count_if(F.trim("text") != "").alias("n_content"))
+    all_ = rows.groupBy("run_id", "transport").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"\S")).alias("n_content"))
     models = table(spark, base, "runs").select("run_id", "model_key").dropDuplicates(["run_id"])
     same = F.col("a.run_id").eqNullSafe(F.col("c.run_id")) & F.col("a.transport").eqNullSafe(F.col("c.transport"))
     joined = all_.alias("a").join(cut.alias("c"), same, "left").select("a.*", F.coalesce("n_truncated", F.lit(0)).alias("n_truncated"))

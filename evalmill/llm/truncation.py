@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import lookup_join
-from ..session import scratch
+from ..session import scratch, spread, tasks
 from .canonical import aliases, fold, limit
 
 #: Signs and marks after which a text still counts as stopping where they begin.
@@ -32,6 +32,8 @@ NAME = re.compile(r"[^\W\d_a-zß-öø-ÿ][\w'’-]*(?: (?:(?:of|for|and|the|de)
 STOP = re.compile(r"[.!?。]")
 #: Characters of a masked context, the longest first, by the sign of its kind.
 ORDERS = (("0", 28), ("1", 18), ("2", 10))
+#: Characters of a word and of a name that a context holds at most: the model's order there.
+WORD_ORDER, NAME_ORDER = 24, 48
 #: Answers of one word; other texts begin with the same letters.
 WHOLE = frozenset("true false yes no y n a b c d vrai faux oui non wahr falsch ja nein richtig verdadero falso cierto sí si vero".split())
 #: Log-odds of an end under which a final context counts as cut; by kind of context.
@@ -102,13 +104,15 @@ def contexts(text: str, final: bool = False) -> Iterator[tuple[str, bool]]:
         end = i in ends
         boundary = i == n or not text[i].isalnum()
         if not c.isdigit():  # a number is known by the sentence around it only
-            yield ("w" if start > 1 else "w^") + text[start - 2 if start > 1 else 0 : i], boundary
-            yield "v" + text[start:i], boundary
+            at = max(start - 2, i - WORD_ORDER - 2)
+            yield ("w" if at >= 0 else "w^") + text[max(at, 0) : i], boundary
+            word = text[max(start, i - WORD_ORDER) : i]
+            yield "v" + word, boundary
             if boundary:
-                yield "e" + text[start:i], end
+                yield "e" + word, end
                 if following[0] < i <= following[1]:
-                    at = following[0]
-                    yield ("n" if at > 1 else "n^") + text[at - 2 if at > 1 else 0 : i], i == following[1]
+                    at = max(following[0] - 2, i - NAME_ORDER - 2)
+                    yield ("n" if at >= 0 else "n^") + text[max(at, 0) : i], i == following[1]
         e = upto[i]
         if boundary or mask[e - 1] != "X":
             for k, order in ORDERS:
@@ -173,12 +177,12 @@ def _count(texts: DataFrame) -> DataFrame:
                     seen[key] += 1
                     if end:
                         ended[key] += 1
-                if len(seen) > FLUSH:
-                    yield flush()
+                    if len(seen) > FLUSH:  # within a text, too
+                        yield flush()
         if seen:
             yield flush()
 
-    return texts.select("core").mapInPandas(count, schema).groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    return spread(texts.select("core"), "core").mapInPandas(count, schema).groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
 def log_odds(n: Column, ends: Column) -> Column:
@@ -266,6 +270,11 @@ def prefix_cost(tail: str, name: str, starts: set[int] | None = None) -> list[in
     return row
 
 
+def _reach(options: list[str]) -> int:
+    """Letters at a text's end that can belong to one of the names: twice the longest one's, as edits are no more than its letters."""
+    return max(60, 2 * max(map(len, options), default=0))
+
+
 def cut_cost(core_text: str, options: list[str], at_limit: bool = False, by_word: bool = False) -> tuple[int, int, int]:
     """Fewest edits between the text's end and one of the names without its end, that part's letters, and the fewest to a name as it is.
 
@@ -273,7 +282,7 @@ def cut_cost(core_text: str, options: list[str], at_limit: bool = False, by_word
     """
     words = [w for w in fold(re.split(r"[.!?:]\s", core_text)[-1]) if w != "the"]
     joined = "".join(words)
-    tail = joined[-60:]
+    tail = joined[-_reach(options) :]
     starts = None
     if by_word:
         begins = [sum(map(len, words[:i])) + k for i, w in enumerate(words) for k in ((0, 3) if w.startswith("the") else (0,))]
@@ -297,10 +306,11 @@ def whole_cost(core_text: str, options: list[str]) -> tuple[int, int]:
     """
     last = re.split(r"[.!?:]\s", core_text)[-1]
     said = fold(last)
-    tails = {"".join(w for w in said if w != "the")[-60:], "".join(said)[-60:]}
+    reach = _reach(options)
+    tails = {"".join(w for w in said if w != "the")[-reach:], "".join(said)[-reach:]}
     before, comma, behind = last.rpartition(",")
     if comma:  # what stands before a comma may have words around the name
-        tails |= {"".join([*fold(behind), *fold(before)[-k:]])[-60:] for k in (1, 2, 3)}
+        tails |= {"".join([*fold(behind), *fold(before)[-k:]])[-reach:] for k in (1, 2, 3)}
     whole, size = 99, 0
     for option in options:
         name = " ".join(w for w in fold(option) if w != "the")
@@ -355,11 +365,10 @@ def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_c
     """
     given = [c for c in rows.columns if c != "evidence"]
     packed = rows.select(F.struct(*given).alias("_given"), F.col(text_col).alias("_text"), F.col(question_col).alias("_question"), F.coalesce(prior_col, F.lit(0.0)).alias("_prior"))
-    full = packed.where(F.col("_text").isNotNull() & (F.trim("_text") != ""))
+    full = packed.where(F.col("_text").isNotNull() & F.col("_text").rlike(r"\S"))
     distinct = scratch(full.groupBy("_text").agg(F.count("*").alias("_n")), "distinct")
     total = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    spread = distinct.select("_text").repartition(max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    odds = scratch(text_odds(spread, "_text"), "odds").join(distinct, "_text")
+    odds = scratch(text_odds(spread(distinct.select("_text"), "_text"), "_text"), "odds").join(distinct, "_text")
     judged = lookup_join(full, odds, ["_text"], "_n", total).withColumn("evidence", cut_evidence(F.col("_prior"))).drop("_text")
     judged = scratch(judged, "judged")
     # No more than a few per cent of the rows: texts whose last word nobody else wrote or most go on with, and short ones that may be names with a slip.

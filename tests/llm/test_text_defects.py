@@ -196,3 +196,16 @@ def test_spent_tokens(spark):
     rows = [("Port Varn", 20, 64), ("Port Varn", 64, 64), ("Port Varn", 20, None), ("正解は", 4, 64), ("x" * 60, 40, 64), ("x" * 60, 16, 64)]
     df = spark.createDataFrame(rows, "t string, c int, m int").select(prior_odds(F.col("t"), F.lit("stop"), F.col("c"), F.col("m")).alias("p"))
     assert [r.p for r in df.collect()] == [2.2, 0.8, 2.2, -1.3, 2.2, 0.0]
+
+
+def test_a_word_of_any_length(spark):
+    import time
+
+    long = "x" * 20 + "QmFzZTY0" * 130_000
+    began = time.time()
+    assert sum(len(c) for c, _ in contexts(long[:200_000])) < 200_000 * 6 * 40 and time.time() - began < 30
+    rows, names = corpus(spark)
+    df = spark.createDataFrame([*rows, (1000, "q1", long, True), (1001, "q1", "I believe it is Lake Somil. The old mill sto", True)], "response_id bigint, question_id string, content string, full boolean").withColumn("prior", F.when(F.col("full"), 0.8).otherwise(0.0))
+    questions = spark.createDataFrame([(f"q{i}", names) for i in range(5)], "question_id string, options array<string>")
+    assert 1001 in {r.response_id for r in truncated_replies(df, "content", "question_id", "prior", questions).collect()}
+    assert time.time() - began < 90
