@@ -85,9 +85,9 @@ def tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str, tasks_per_core: int = 2) -> DataFrame:
     """``df`` moved by a hash of ``by`` to enough tasks to keep all cores busy.
 
     A compressed file of a few MB, one row group and so one task, holds rows whose judging takes minutes.
     """
-    return df.repartition(tasks(df.sparkSession), *by)
+    return df.repartition(max(1, tasks(df.sparkSession) * tasks_per_core // 2), *by)
