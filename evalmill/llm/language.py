@@ -6,8 +6,8 @@ name, as a model of names has it, so that a name tells nothing, or a slip, which
 its language. Texts are compared by the log-odds of their words; one more model, of the words of all
 languages but one, stands for languages that no text was labelled with.
 
-The models are fitted on a bounded sample of labelled texts: ``per_language`` whole texts of each
-label, drawn by a hash, of which the ``per_vocabulary`` most frequent words of each label are kept, but
+The models are fitted on a bounded sample of labelled texts: about ``per_language`` whole texts of each
+label, drawn by a hash (repeated texts all or none), of which the ``per_vocabulary`` most frequent words of each label are kept, but
 for those that are far more frequent under another label: texts quote other languages.
 """
 
@@ -287,8 +287,11 @@ def fit_languages(docs: DataFrame | None, text_col: str = "text", lang_col: str
     if docs is None:
         return LanguageModel({})
     labelled = docs.select(code(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and trim(text) <> ''")
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = labelled.withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= per_language).drop("_k")
+    # Drawn by the hash of a text, each label with the share that gives as many; so no text is sorted or moved.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(60)
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_n"))
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
+    sample = labelled.join(F.broadcast(sizes), "lang").where(place < share).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

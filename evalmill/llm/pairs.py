@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..session import scratch, spread, tasks
 from .canonical import fold
 from .language import LanguageModel, script, words
-from .truncation import is_open_json, truncated_replies
+from .truncation import cut_replies, is_open_json, judged_replies
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 TAG = re.compile(r"<[^<>]{0,80}>|```\w*|`+|[*_#~|>]+")
@@ -281,7 +281,7 @@ def own_words(text: str, question: str, options: list[str], model: LanguageModel
             continue
         if model.gains(w, capital, base).max() > 1:
             pieces = [w, w + said_[i + 1][0] if i + 1 < len(said_) else w, said_[i - 1][0] + w if i else w]
-            if any(near(x, n, max(1, (len(n) + (j == 0)) // (3 + (j > 0)))) for j, x in enumerate(pieces) for n in names if len(n) > 2) or len(w) < 4 and any(x in s for x in pieces[1:] if len(x) > 4 for s in squeezed):
+            if any(abs(len(x) - len(n)) <= (k := max(1, (len(n) + (j == 0)) // (3 + (j > 0)))) and near(x, n, k) for j, x in enumerate(pieces) for n in names if len(n) > 2) or len(w) < 4 and any(x in s for x in pieces[1:] if len(x) > 4 for s in squeezed):
                 continue
         out.append((w, capital))
     return out
@@ -301,31 +301,32 @@ def spoken(text: str, question: str, options: list[str], model: LanguageModel, m
     return best.strip("-") if best != base and odds > FOREIGN[min(model.telling(own, best, base), 3)] else None
 
 
-def at_once(question: str | None, answer: str | None, model: LanguageModel, memo: dict) -> str | None:
-    """The defect of a pair as far as its texts tell it; ``?`` if the question's options decide whether there is one."""
+def alone(answer: str | None, model: LanguageModel) -> str | None:
+    """What an answer tells by itself: ``empty``, ``fine`` (a letter or verdict, whatever was asked), ``?`` if it may decline or
+    be of another language than the usual one, or null: it may still give back its question."""
     text = said(answer) if answer else None
     if text is None:
         return "empty"
     bare = text.strip().lower()
     if bare in VERDICTS or re.fullmatch(r"\W*[a-d]\W*", bare):
-        return None
-    if declining(text, question or "")[0]:
+        return "fine"
+    if declining(text)[0]:
+        return "?"
+    if not text.isascii() and set(script(text)) - {"LATIN", "MODIFIER", "FEMININE", "MASCULINE"}:
         return "?"
-    if question and is_copy(question, text):
-        return "copied_question"
-    if foreign_script(text, question or ""):
-        return "other_language"
-    question = question or ""
-    if question not in memo:
-        memo[question] = model.of(question) if question else model.usual
     own = [(w, False) for w, _, start in words(text) if start and w not in VERDICTS]
     if len(own) <= 3 and any(w in VERDICT_WORDS or w.partition("'")[2] in VERDICT_WORDS for w, _ in own):
         return "?"
-    return "?" if model.most(own, memo[question]) > FOREIGN[-1] else None
+    return "?" if model.most(own, model.usual) > FOREIGN[-1] else None
+
+
+def unusual(question: str | None, model: LanguageModel) -> bool:
+    """Whether a question is of another language than the usual one, or another script: its answers are held against that."""
+    return bool(question) and (model.of(question) != model.usual or not question.isascii() and bool(set(script(question)) - {"LATIN", "MODIFIER", "FEMININE", "MASCULINE"}))
 
 
 def with_options(question: str | None, answer: str, options: list[str], model: LanguageModel, memo: dict) -> str | None:
-    """The defect of a pair, other than truncation."""
+    """The defect of a pair that isn't ``empty`` or ``fine``, other than truncation."""
     text = said(answer) if answer else None
     if text is None:
         return "empty"
@@ -338,57 +339,73 @@ def with_options(question: str | None, answer: str, options: list[str], model: L
 
 def defect(question: str | None, answer: str | None, options: list[str] | None = None, model: LanguageModel | None = None) -> str | None:
     """The defect of one pair, other than truncation."""
-    model, memo = model or LanguageModel({}), {}
-    first = at_once(question, answer, model, memo)
-    return with_options(question, answer or "", options or [], model, memo) if first == "?" else first
+    model = model or LanguageModel({})
+    first = alone(answer, model)
+    if first in ("empty", "fine"):
+        return "empty" if first == "empty" else None
+    if first == "?" or unusual(question, model):
+        return with_options(question, answer or "", options or [], model, {})
+    return "copied_question" if question and is_copy(question, said(answer) or "") else None
 
 
-def defective_pairs(rows: DataFrame, id_col: str, question_col: str, answer_col: str, question_id: str, prior_col: str, questions: DataFrame, model: LanguageModel, cut: DataFrame | None = None) -> DataFrame:
+def defective_pairs(rows: DataFrame, id_col: str, question_col: str, answer_col: str, question_id: str, prior_col: str, questions: DataFrame, model: LanguageModel) -> DataFrame:
     """(id, defect) of the defective ``rows``, one defect each.
 
     ``questions`` has the ``options`` by ``question_id``; a question that isn't there has none. A
     truncated answer counts as that, whatever else it is; a null, blank or empty one is ``empty``.
     Without a question no copy is found and the language is held to be the usual one. Rows repeated under
-    one id come out once each. ``cut`` are the truncated rows if they are known already.
+    one id come out once each.
+
+    Each distinct answer is looked at once; only the rows whose answer may decline or be foreign, or
+    whose question is, go on to be judged with their question's options, and of the others those long enough to be copies.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    # Calls to what follows would be doubled by filters on what they give, were they held to be deterministic.
     @F.pandas_udf(T.StringType())
-    def first_look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        m, asked, memo = shared.value, {}, {}
-        for questions_, answers in batches:
-            out = []
-            for q, a in zip(questions_, answers):
-                if (q, a) not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                        asked.clear()
-                    memo[q, a] = at_once(q, a, m, asked)
-                out.append(memo[q, a])
-            yield pd.Series(out, dtype="object")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for answers in batches:
+            yield pd.Series([alone(a, shared.value) for a in answers], dtype="object")
+
+    @F.pandas_udf(T.BooleanType())
+    def strange(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for asked in batches:
+            yield pd.Series([unusual(q, shared.value) for q in asked], dtype="bool")
 
     @F.pandas_udf(T.StringType())
-    def second_look(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        m, asked = shared.value, {}
-        for questions_, answers, options_ in batches:
-            if len(asked) > 50_000:
-                asked.clear()
-            yield pd.Series([with_options(q, a, [x for x in o if x] if o is not None else [], m, asked) for q, a, o in zip(questions_, answers, options_)], dtype="object")
-
-    # Else a filter on what they give would have Spark call them twice.
-    first_look, second_look = first_look.asNondeterministic(), second_look.asNondeterministic()
-    if cut is None:
-        cut = truncated_replies(rows.select(id_col, question_id, F.col(answer_col).alias("_text"), prior_col), "_text", question_id, prior_col, questions)
-    cut = cut.select(id_col, F.lit("truncated").alias("defect"))
-    last = lambda c: F.regexp_extract(F.lower(c), r"(?U)(\w+)\W*$", 1)
-    seen = spread(rows, id_col).select(F.col(id_col).alias("_id"), F.col(question_id).alias("_qid"), F.col(question_col).alias("_q"), F.col(answer_col).alias("_a"), first_look(question_col, answer_col).alias("_d")).where("_d is not null")
-    seen = scratch(seen, "seen")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        memo: dict = {}
+        for asked, answers, options in batches:
+            if len(memo) > 50_000:
+                memo.clear()
+            yield pd.Series([with_options(q, a, [x for x in o if x] if o is not None else [], shared.value, memo) for q, a, o in zip(asked, answers, options)], dtype="object")
+
+    @F.pandas_udf(T.BooleanType())
+    def copied(asked: pd.Series, answers: pd.Series) -> pd.Series:
+        return pd.Series([is_copy(q, said(a) or "") for q, a in zip(asked, answers)], dtype="bool")
+
+    look, strange, judge, copied = (f.asNondeterministic() for f in (look, strange, judge, copied))
+    named = rows.select(F.col(id_col).alias("_id"), F.col(question_id).alias(question_id), F.col(question_col).alias("_q"), F.col(answer_col).alias("_a"), F.col(prior_col).alias("_p"))
+    judged = judged_replies(named, "_a", question_id, "_p", {"_look": look})
+    blank = named.where(F.col("_a").isNull() | ~F.col("_a").rlike(r"\S")).select("_id", F.lit("empty").alias("_d"), F.lit(None).cast("boolean").alias("_whole"))
+    told = judged.select("_given.*", "_look")
+    odd = scratch(spread(named.select("_q").where("_q is not null").distinct(), "_q").select("_q", strange("_q").alias("_odd")).where("_odd"), "odd")
+    told = told.join(odd, "_q", "left")
+    ask = F.coalesce(F.col("_look") == "?", F.lit(False)) | (F.col("_odd") & (F.coalesce(F.col("_look"), F.lit("")) != "fine") & (F.coalesce(F.col("_look"), F.lit("")) != "empty"))
+    ask = F.coalesce(ask, F.lit(False))
     known = questions.select(F.col(question_id).alias("_qid"), F.col("options").alias("_options"))
     # Whatever Spark takes its size for, it is work for all cores.
-    asked = seen.where("_d = '?'").join(known, "_qid", "left").repartition(tasks(rows.sparkSession), "_id").withColumn("_d", second_look("_q", "_a", "_options")).where("_d is not null")
-    both = seen.where("_d <> '?'").unionByName(asked.select(*seen.columns))
-    other = scratch(both.select(F.col("_id").alias(id_col), F.col("_d").alias("defect"), F.when(F.col("_d") == "copied_question", last("_q") == last("_a")).alias("_whole")), "other")
+    asked = told.where(ask).join(known, F.col(question_id) == F.col("_qid"), "left").repartition(tasks(rows.sparkSession), "_id").select("_id", "_q", "_a", judge("_q", "_a", "_options").alias("_d"))
+    # A copy has three quarters of its question's words; markup may hide some of the signs between them.
+    size = lambda c: F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
+    long = told.where(~ask & F.col("_look").isNull() & F.col("_q").isNotNull()).where(size("_a") >= 0.6 * size("_q"))
+    copies = long.repartition(tasks(rows.sparkSession), "_id").where(copied("_q", "_a")).select("_id", "_q", "_a", F.lit("copied_question").alias("_d"))
+    last = lambda c: F.regexp_extract(F.lower(c), r"(?U)(\w+)\W*$", 1)
+    both = asked.where("_d is not null").unionByName(copies).unionByName(told.where("_look = 'empty'").select("_id", "_q", "_a", F.lit("empty").alias("_d")))
+    other = both.select("_id", "_d", F.when(F.col("_d") == "copied_question", last("_q") == last("_a")).alias("_whole")).unionByName(blank)
+    other = scratch(other.select(F.col("_id").alias(id_col), F.col("_d").alias("defect"), "_whole"), "other")
     # A question that is given back to its last word isn't cut, however unusual an end that is.
     whole = other.where("defect = 'copied_question' and _whole").select(id_col).distinct()
+    cut = cut_replies(judged, question_id, questions).select(F.col("_id").alias(id_col), F.lit("truncated").alias("defect"))
     cut = scratch(cut.join(whole, id_col, "left_anti"), "cut")
     return cut.unionByName(other.drop("_whole").join(cut.select(id_col).distinct(), id_col, "left_anti"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -182,7 +182,7 @@ def _count(texts: DataFrame) -> DataFrame:
         if seen:
             yield flush()
 
-    return spread(texts.select("core"), "core").mapInPandas(count, schema).groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    return spread(texts.select("core"), "core", tasks_per_core=1).mapInPandas(count, schema).groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
 def log_odds(n: Column, ends: Column) -> Column:
@@ -354,23 +354,23 @@ def typed_name_udf(cores: pd.Series, options: pd.Series) -> pd.Series:
     return pd.Series([o is not None and typed_name(c, [x for x in o if x]) for c, o in zip(cores, options)], dtype="bool")
 
 
-def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_col: str, questions: DataFrame) -> DataFrame:
-    """``rows`` whose text is truncated, with ``evidence``.
+def judged_replies(rows: DataFrame, text_col: str, question_col: str, prior_col: str, more: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
+    """``rows`` with a text that isn't blank, as ``_given``, with the odds of ``text_odds`` and the evidence that these give.
 
-    Each distinct text is judged once. What no other text can witness (a last word that none of them
-    has) is held against the names among the ``options`` of the row's question (``questions``:
-    question_col, options). So is a text of less than five words with a negative prior that the model
-    holds to be cut: it is complete if it is an option as typed, with a slip. Rows with a null or blank text are never truncated; a null ``prior_col``
-    (see ``prior_odds``) counts as 0; a column ``evidence`` is replaced; a question that isn't known, or has no options, leaves a text complete.
+    Each distinct text is judged once; ``more`` are further columns made of it, in the same pass.
     """
     given = [c for c in rows.columns if c != "evidence"]
     packed = rows.select(F.struct(*given).alias("_given"), F.col(text_col).alias("_text"), F.col(question_col).alias("_question"), F.coalesce(prior_col, F.lit(0.0)).alias("_prior"))
     full = packed.where(F.col("_text").isNotNull() & F.col("_text").rlike(r"\S"))
     distinct = scratch(full.groupBy("_text").agg(F.count("*").alias("_n")), "distinct")
     total = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    odds = scratch(text_odds(spread(distinct.select("_text"), "_text"), "_text"), "odds").join(distinct, "_text")
-    judged = lookup_join(full, odds, ["_text"], "_n", total).withColumn("evidence", cut_evidence(F.col("_prior"))).drop("_text")
-    judged = scratch(judged, "judged")
+    odds = text_odds(spread(distinct.select("_text"), "_text"), "_text").withColumns({c: f("_text") for c, f in (more or {}).items()})
+    judged = lookup_join(full, scratch(odds, "odds").join(distinct, "_text"), ["_text"], "_n", total)
+    return scratch(judged.withColumn("evidence", cut_evidence(F.col("_prior"))).drop("_text"), "judged")
+
+
+def cut_replies(judged: DataFrame, question_col: str, questions: DataFrame) -> DataFrame:
+    """The rows of ``judged_replies`` that are truncated, with ``evidence``; see ``truncated_replies``."""
     # No more than a few per cent of the rows: texts whose last word nobody else wrote or most go on with, and short ones that may be names with a slip.
     unseen = F.col("evidence").isNull() & ~F.col("stopped") & (F.coalesce("word", F.lit(-1.0)) < 0) & F.col("core").rlike(r"\p{L}{2}$")
     short = F.col("evidence").isNotNull() & ~F.col("open") & (F.col("_prior") < 0) & (F.size(F.split("core", r"\s+")) < 5)
@@ -379,3 +379,15 @@ def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_c
     cut = judged.where(short).select("_given", "core", "_question", "evidence").join(options, "_question", "left").where(~typed_name_udf("core", "_options"))
     out = judged.where(F.col("evidence").isNotNull() & ~short).select("_given.*", "evidence").unionByName(cut.select("_given.*", "evidence"))
     return out.unionByName(named.select("_given.*", F.lit("option").alias("evidence")))
+
+
+def truncated_replies(rows: DataFrame, text_col: str, question_col: str, prior_col: str, questions: DataFrame) -> DataFrame:
+    """``rows`` whose text is truncated, with ``evidence``.
+
+    Each distinct text is judged once. What no other text can witness (a last word that none of them
+    has) is held against the names among the ``options`` of the row's question (``questions``:
+    question_col, options). So is a text of less than five words with a negative prior that the model
+    holds to be cut: it is complete if it is an option as typed, with a slip. Rows with a null or blank text are never truncated; a null ``prior_col``
+    (see ``prior_odds``) counts as 0; a column ``evidence`` is replaced; a question that isn't known, or has no options, leaves a text complete.
+    """
+    return cut_replies(judged_replies(rows, text_col, question_col, prior_col), question_col, questions)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalmill.llm.language import LanguageModel, fit_languages
-from evalmill.llm.pairs import KEYS, TEMPLATES, at_once, defect, defective_pairs, is_copy, is_refusal, lcs, with_options
+from evalmill.llm.pairs import KEYS, TEMPLATES, alone, defect, defective_pairs, is_copy, is_refusal, lcs, unusual, with_options
 from evalmill.llm.truncation import contexts, core, cut_name, is_open_json, prior_odds, truncated_replies, typed_name
 
 QUESTION = "Which place lent its name to the Kerola marathon's half-way mark?"
@@ -141,8 +141,10 @@ def test_held_out_languages(model):
 
 def test_first_look_loses_nothing(model):
     for text in [*REFUSED, *ANSWERED, *FOREIGN, *PLAIN, QUESTION]:
-        if at_once(QUESTION, text, model, {}) is None:
-            assert with_options(QUESTION, text, OPTIONS, model, {}) is None, text
+        if alone(text, model) is None:
+            assert with_options(QUESTION, text, OPTIONS, model, {}) in (None, "copied_question"), text
+    assert unusual("Welcher Berg ist der höchste im ganzen Land und warum ist das so?", model) and not unusual(QUESTION, model) and not unusual(None, model)
+    assert defect("Welcher Berg ist der höchste im ganzen Land und warum ist das so?", "Das ist doch der große Berg im Norden.", OPTIONS, model) is None
 
 
 def test_languages_without_labels(spark):
