@@ -242,9 +242,13 @@ class LanguageModel:
         best = int(np.argmax(total))
         return (self._languages[best], float(total[best])) if total[best] > 0 else (base, 0.0)
 
-    def most(self, said: list[tuple[str, bool]], base: str) -> float:
-        """No choice of some of these words has higher log-odds against ``base``."""
-        return sum(float(self.gains(w, c, base).max()) for w, c in said)
+    def may_be(self, said: list[tuple[str, bool]], base: str, limits: tuple[float, ...]) -> bool:
+        """Whether some of these words may have log-odds against ``base``, in one language, above the limit for as many words as tell it."""
+        if not said:
+            return False
+        gains = np.stack([self.gains(w, c, base) for w, c in said])
+        told = np.minimum((gains > 0.5).sum(axis=0), len(limits) - 1)
+        return bool((np.maximum(gains, 0.0).sum(axis=0) > np.asarray(limits)[told]).any())
 
     def telling(self, said: list[tuple[str, bool]], language: str, base: str) -> int:
         """How many of these words speak for a language."""

@@ -317,7 +317,7 @@ def alone(answer: str | None, model: LanguageModel) -> str | None:
     own = [(w, False) for w, _, start in words(text) if start and w not in VERDICTS]
     if len(own) <= 3 and any(w in VERDICT_WORDS or w.partition("'")[2] in VERDICT_WORDS for w, _ in own):
         return "?"
-    return "?" if model.most(own, model.usual) > FOREIGN[-1] else None
+    return "?" if model.may_be(own, model.usual, FOREIGN) else None
 
 
 def unusual(question: str | None, model: LanguageModel) -> bool:
