@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_join
-from ..session import scratch
+from ..session import scratch, spread, tasks
 
 #: Ways in which words of names are abbreviated or written otherwise.
 WORD_FORMS = {
@@ -109,9 +109,10 @@ class Trie:
             if words:
                 by_width.setdefault(sum(map(len, words)) // 64 + 1, []).append(i)
         for width, members in by_width.items():
-            step = 4000 >> 2 * edits  # the more edits, the more branches live at once
-            for k in range(0, len(members), max(1, step)):
-                self._search(values, members[k : k + max(1, step)], width, edits, found)
+            # The more edits, the more branches live at once; and bit sets as wide as the values are long.
+            step = max(1, (4000 >> 2 * edits) // width)
+            for k in range(0, len(members), step):
+                self._search(values, members[k : k + step], width, edits, found)
         return found
 
     def _search(self, values, members, width, edits, found) -> None:
@@ -210,43 +211,48 @@ def nearest(trie: Trie, words: list[list[str]]) -> list[tuple[int, int]]:
     return out
 
 
-def match_texts(trie: Trie, texts: list[str]) -> list[tuple[int, int]]:
-    """(entry or 0, score) of each text."""
-    out = nearest(trie, [fold(x) for x in texts])
-    # A name that was broken by a blank before its parts changed places.
-    turned = [i for i, x in enumerate(texts) if not out[i][0] and "," in x]
-    for i, again in zip(turned, nearest(trie, [fold(" ".join(reversed(texts[i].split(",", 1)))) for i in turned])):
-        out[i] = max(out[i], again)
-    return out
+def turned(text: str) -> str:
+    """A text with its parts around the first comma changed."""
+    return " ".join(reversed(text.split(",", 1)))
 
 
 def match_values(values: DataFrame, entries: DataFrame, value: str, block: int = 200_000) -> DataFrame:
     """``values`` (one row for each distinct value) with ``entry_id``, 0 for those that match nothing.
 
     ``entries`` (entry_id, name) is a reference list of a few thousand rows. It is taken in blocks of
-    ``block`` entries, each of which is sent to the tasks as one trie.
+    ``block`` entries, each of which is sent to the tasks as one trie. What matches no entry of any block is
+    tried once more with its parts changed around a comma: a name that was broken by a blank before they changed places.
     """
     spark = values.sparkSession
     n = entries.count()
     parts = [entries] if n <= block else [entries.where(F.pmod(F.xxhash64("entry_id"), F.lit(-(-n // block))) == i) for i in range(-(-n // block))]
+    tries = [spark.sparkContext.broadcast(Trie([(r.entry_id, r.name) for r in part.select("entry_id", "name").where("entry_id is not null and name is not null").collect()])) for part in parts]
     schema = f"`{value}` string, entry_id int, score int"
-    out = None
-    for part in parts:
-        rows = [(r.entry_id, r.name) for r in part.select("entry_id", "name").where("entry_id is not null and name is not null").collect()]
-        trie = spark.sparkContext.broadcast(Trie(rows))
-
-        def match(batches: Iterator[pd.DataFrame], trie=trie) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                texts = b[value].tolist()
-                got = match_texts(trie.value, texts)
-                yield pd.DataFrame({value: texts, "entry_id": [x[0] for x in got], "score": [x[1] for x in got]})
-
-        found = values.select(value).mapInPandas(match, schema)
-        out = found if out is None else out.unionByName(found)
-    if len(parts) > 1:
+
+    def matched(texts: DataFrame, form: Callable[[str], str]) -> DataFrame:
+        out = None
+        for trie in tries:
+
+            def match(batches: Iterator[pd.DataFrame], trie=trie) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    t = b[value].tolist()
+                    got = nearest(trie.value, [fold(form(x)) for x in t])
+                    yield pd.DataFrame({value: t, "entry_id": [x[0] for x in got], "score": [x[1] for x in got]})
+
+            found = texts.select(value).mapInPandas(match, schema)
+            out = found if out is None else out.unionByName(found)
+        if len(tries) == 1:
+            return out
         best = out.groupBy(value).agg(F.max("score").alias("score"))
-        out = out.join(best, [value, "score"]).groupBy(value).agg(F.when(F.count_distinct("entry_id") == 1, F.max("entry_id")).otherwise(0).alias("entry_id"))
-    return out.select(value, "entry_id")
+        tied = F.when(F.count_distinct("entry_id") == 1, F.max("entry_id")).otherwise(0)
+        return out.join(best, [value, "score"]).groupBy(value).agg(tied.alias("entry_id"), F.max("score").alias("score"))
+
+    first = scratch(matched(values, str), "matched")
+    open_ = (F.col("entry_id") == 0) & F.contains(value, F.lit(","))
+    again = matched(first.where(open_).repartition(tasks(spark), value), turned).select(value, F.col("entry_id").alias("_entry"), F.col("score").alias("_score"))
+    better = F.struct("_entry", "_score") > F.struct("entry_id", "score")
+    retried = first.where(open_).join(again, value).select(value, F.when(better, F.col("_entry")).otherwise(F.col("entry_id")).alias("entry_id"))
+    return first.where(~open_).select(value, "entry_id").unionByName(retried)
 
 
 def canonical_entries(rows: DataFrame, entries: DataFrame, value: str) -> DataFrame:
@@ -260,7 +266,6 @@ def canonical_entries(rows: DataFrame, entries: DataFrame, value: str) -> DataFr
     distinct = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
     distinct = scratch(distinct, "values")
     total = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    spread = distinct.repartition(max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    lookup = match_values(spread, entries, value)
-    lookup = scratch(lookup, "matched").join(distinct, value)
+    lookup = match_values(spread(distinct, value), entries, value)
+    lookup = scratch(lookup, "lookup").join(distinct, value)
     return lookup_join(rows.where(F.col(value).isNotNull()), lookup, [value], "_n", total)

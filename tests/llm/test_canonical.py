@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evalmill.llm.canonical import Trie, aliases, canonical_entries, fold, limit, match_texts
+from evalmill.llm.canonical import Trie, aliases, canonical_entries, fold, limit, nearest, turned
 
 ENTRIES = [(1, "Saint Callini"), (2, "Callini Falls"), (3, "Lake Vegotro"), (4, "The Burning Houkagi"), (5, "Zureand-tailed vole"), (6, "Twelve Harbours of Zendrechond"), (7, "Leila O'Bolmomjal"), (8, "Pairyôlin flatbread"), (9, "Rabralyol and the Ledger"), (10, "Yiamvondca")]
 
@@ -20,7 +20,8 @@ def trie():
     ("Rabraly0l & the Ledger", 9), ("Yiamvodnca", 10), ("Callini", 0), ("it depends on the year", 0), ("", 0), ("???", 0), ("none of the above", 0), ("Lake Callini", 0), ("x" * 5000, 0), ("word " * 300 + "Saint Callini", 1),
 ])
 def test_cases(trie, text, want):
-    assert match_texts(trie, [text])[0][0] == want
+    plain, again = (nearest(trie, [fold(x)])[0] for x in (text, turned(text)))
+    assert (plain[0] or (again[0] if "," in text else 0)) == want
 
 
 def osa(a, b):
