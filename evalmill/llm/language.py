@@ -73,11 +73,11 @@ CLEAR = 18.0
 
 def words(text: str) -> list[tuple[str, bool, bool]]:
     """(word in lower case, whether it has a capital, whether a sentence may begin with it); words with digits tell nothing."""
-    shout = not any(c.islower() for c in text)
+    shout = text == text.upper()
     out = []
     for m in WORD.finditer(text):
         w = m.group().replace("’", "'")
-        if not any(map(str.isdigit, w)):
+        if w.isalpha() or not any(map(str.isdigit, w)):
             capital = w[0].isupper() and not shout
             out.append((w.lower(), capital, not capital or bool(START.search(text[max(0, m.start() - 4) : m.start()]))))
     return out
@@ -256,8 +256,8 @@ class LanguageModel:
         return sum(bool(self.gains(w, c, base)[at] > 0.5) for w, c in said)
 
     def of(self, text: str) -> str:
-        """The language of a text; the usual one if nothing tells otherwise."""
-        best, odds = self.compare([(w, c) for w, c, _ in words(text)], self.usual)
+        """The language of a text, by its words but those that are names by their capital; the usual one if nothing tells otherwise."""
+        best, odds = self.compare([(w, c) for w, c, start in words(text) if start], self.usual)
         return best if odds > CLEAR and best != OTHER else self.usual
 
 

@@ -229,7 +229,8 @@ def is_refusal(text: str, question: str = "", options: list[str] | None = None)
 def is_copy(question: str, text: str) -> bool:
     """Whether a reply gives back the question and no answer."""
     q, a = tokens(question), tokens(text)
-    if len(q) < 3:
+    held = set(a)
+    if len(q) < 3 or sum(w in held for w in q) < 0.75 * len(q):  # no subsequence can be longer
         return False
     joined = " ".join(q)
     if joined not in " ".join(a):
