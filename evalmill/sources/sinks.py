@@ -11,7 +11,8 @@ from ..session import hadoop_path
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("append").csv(path, header=True, escape='"')
+    """Blanks at the ends of texts stay."""
+    df.write.mode("append").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_json(df: DataFrame, path: str) -> None:
