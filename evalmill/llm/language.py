@@ -78,8 +78,9 @@ def words(text: str) -> list[tuple[str, bool, bool]]:
     for m in WORD.finditer(text):
         w = m.group().replace("’", "'")
         if w.isalpha() or not any(map(str.isdigit, w)):
-            capital = w[0].isupper() and not shout
-            out.append((w.lower(), capital, not capital or bool(START.search(text[max(0, m.start() - 4) : m.start()]))))
+            capital, at = w[0].isupper() and not shout, m.start()
+            inside = at > 1 and text[at - 1] == " " and text[at - 2].isalnum()  # as most are
+            out.append((w.lower(), capital, not capital or not inside and bool(START.search(text[max(0, at - 4) : at]))))
     return out
 
 
@@ -130,6 +131,7 @@ class Letters:
         self.longest = max(orders.values(), default=0)
         self._rows: dict[str, int] = {}
         self._kept = np.empty((1024, 2, len(self.names)))
+        self._pairs: dict[str, float] = {}
 
     def steps(self, word: str) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities by all contexts, and by those of one letter at most. What a letter has behind a context is kept."""
@@ -145,10 +147,10 @@ class Letters:
             if len(self._rows) == len(self._kept):
                 self._kept = np.concatenate([self._kept, np.empty_like(self._kept)])
             at = self._rows[window] = len(self._rows)
-            self._kept[at] = self._logs(window)
+            self._logs(window, self._kept[at])
         return at
 
-    def _logs(self, s: str) -> np.ndarray:
+    def _logs(self, s: str, out: np.ndarray) -> None:
         i = len(s) - 1
         p = short = np.full(len(self.names), self.base.steps_of(s[-2:])[0] if self.base else 1 / 500)
         for o in range(min(self.longest, i + 1)):
@@ -161,7 +163,8 @@ class Letters:
                 p = p + of
             if o < 2:
                 short = p
-        return np.log(np.stack([p, short]))
+        np.log(p, out=out[0])
+        np.log(short, out=out[1])
 
     def steps_of(self, s: str) -> list[float]:
         """Probabilities of the letters of a word between its marks, for a single language."""
@@ -177,6 +180,19 @@ class Letters:
             out.append(float(p))
         return out
 
+    def log_by_pairs(self, word: str) -> float:
+        """Log probability of a word for a single language with contexts of one letter at most. That of each pair is kept."""
+        s, total = f"^{word}$", 0.0
+        for i in range(1, len(s)):
+            pair = s[i - 1 : i + 1]
+            log = self._pairs.get(pair)
+            if log is None:
+                if len(self._pairs) > 200_000:
+                    self._pairs.clear()
+                log = self._pairs[pair] = math.log(self.steps_of(pair)[0])
+            total += log
+        return total
+
 
 class LanguageModel:
     """``counts``: words of each language, and names under NAMES. The tables are made on first use, once in each process."""
@@ -208,6 +224,7 @@ class LanguageModel:
             self._languages = self._letters.names[:-1]
             self._place = {k: i for i, k in enumerate(self._languages)}
             self._memo: dict = {}
+            self._gains: dict = {}
         return self._letters
 
     def log(self, word: str, capital: bool) -> np.ndarray:
@@ -221,14 +238,29 @@ class LanguageModel:
                 letters._rows.clear()
             full, short = (np.maximum(x, -600.0) for x in letters.steps(word))
             share = NAME_SHARE[capital]
-            name = share * math.exp(max(full[-1], sum(map(math.log, self._all.steps_of(f"^{word}$"))), -600.0))
+            name = share * math.exp(max(full[-1], self._all.log_by_pairs(word), -600.0))
             found = self._memo[key] = np.log((1 - share - SLIP_SHARE) * np.exp(full[:-1]) + SLIP_SHARE * np.exp(short[:-1]) + name)
         return found
 
     def gains(self, word: str, capital: bool, base: str) -> np.ndarray:
         """Log-odds of a word in each language against ``base``."""
-        p = self.log(word, capital)
-        return p - p[self._place[base]]
+        return self._gained(word, capital, base)[0]
+
+    def most(self, word: str, capital: bool, base: str) -> float:
+        """The largest of these log-odds."""
+        return self._gained(word, capital, base)[1]
+
+    def _gained(self, word: str, capital: bool, base: str) -> tuple[np.ndarray, float]:
+        self.letters()
+        key = (word, capital, base)
+        found = self._gains.get(key)
+        if found is None:
+            if len(self._gains) > 100_000:
+                self._gains.clear()
+            p = self.log(word, capital)
+            gains = p - p[self._place[base]]
+            found = self._gains[key] = gains, float(gains.max())
+        return found
 
     def languages(self) -> list[str]:
         self.letters()
@@ -246,7 +278,10 @@ class LanguageModel:
         """Whether some of these words may have log-odds against ``base``, in one language, above the limit for as many words as tell it."""
         if not said:
             return False
-        gains = np.stack([self.gains(w, c, base) for w, c in said])
+        found = [self._gained(w, c, base) for w, c in said]
+        if sum(most for _, most in found) <= min(limits):  # no language has more
+            return False
+        gains = np.array([g for g, _ in found])
         told = np.minimum((gains > 0.5).sum(axis=0), len(limits) - 1)
         return bool((np.maximum(gains, 0.0).sum(axis=0) > np.asarray(limits)[told]).any())
 

@@ -10,9 +10,11 @@ are the same for every column and language, and texts of all languages are count
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,10 @@ ELLIPSIS = re.compile(r"(?:…|\.\.+)[*_`\"”’')\]}\s]*$")
 CLOSERS = "*_`\"”’')]}.!?…。"
 NAME = re.compile(r"[^\W\d_a-zß-öø-ÿ][\w'’-]*(?: (?:(?:of|for|and|the|de) )*[^\W\d_a-zß-öø-ÿ][\w'’-]*| (?:of|for|and the|and|de)(?= |$))*")
 STOP = re.compile(r"[.!?。]")
+PIECE = re.compile(r"\S+")
+#: In ASCII: words, of which those with a capital are masked, and digits as 0.
+LATIN_WORD = re.compile(r"[A-Za-z][A-Za-z'-]*")
+DIGITS = str.maketrans("123456789", "000000000")
 #: Characters of a masked context, the longest first, by the sign of its kind.
 ORDERS = (("0", 28), ("1", 18), ("2", 10))
 #: Characters of a word and of a name that a context holds at most: the model's order there.
@@ -52,6 +58,19 @@ def masked(text: str) -> tuple[str, list[int]]:
     """Capitalised words as X, digits as 0; and how long that is up to each place of the text."""
     out: list[str] = []
     upto = [0]
+    if text.isascii():
+        last = 0
+        for m in LATIN_WORD.finditer(text):
+            a, b = m.span()
+            if text[a] < "a":
+                out += text[last:a], "X"
+                at = upto[-1] + a - last
+                upto.extend(range(upto[-1] + 1, at + 1))
+                upto.extend([at + 1] * (b - a))
+                last = b
+        out.append(text[last:])
+        upto.extend(range(upto[-1] + 1, upto[-1] + len(text) - last + 1))
+        return "".join(out).translate(DIGITS), upto
     word = capital = False
     for c in text:
         if c.isalpha() or (word and c in "'’-"):
@@ -67,19 +86,9 @@ def masked(text: str) -> tuple[str, list[int]]:
     return "".join(out), upto
 
 
-def contexts(text: str, final: bool = False) -> Iterator[tuple[str, bool]]:
-    """(context, whether what it names ends here) for each place of a text, or for its end only.
-
-    The first character of a context is its kind: w, v and e for a word (does it end, by what stands
-    before it or alone; does the text end behind it), n for a name, a number for masked ones of that order.
-    """
+def sentence_ends(text: str) -> set[int]:
+    """The places where a sentence or the text ends."""
     n = len(text)
-    if not n:
-        return
-    mask, upto = masked(text)
-    low = [0]
-    for c in mask:
-        low.append(low[-1] + c.islower())
     ends = {n}
     for m in STOP.finditer(text):
         a, b = m.start(), m.end()
@@ -89,10 +98,27 @@ def contexts(text: str, final: bool = False) -> Iterator[tuple[str, bool]]:
             b += 1
         if b == n or text[b].isspace():
             ends.add(a)
+    return ends
+
+
+def contexts(text: str, final: bool = False) -> Iterator[tuple[str, bool]]:
+    """(context, whether what it names ends here) for each place of a text, or for its end only.
+
+    The first character of a context is its kind: w, v and e for a word (does it end, by what stands
+    before it or alone; does the text end behind it), n for a name, a number for masked ones of that order.
+    """
+    n = len(text)
+    if not n:
+        return
+    mask, upto = masked(text)
+    low = list(accumulate(map(str.islower, mask), initial=0))
+    ends = sentence_ends(text)
     start = 0
     names = iter([*[m.span() for m in NAME.finditer(text)], (n + 1, n + 1)])
     following = next(names)
-    for i in range(1, n + 1):
+    if final:  # begin where the last word does
+        start = n if text[-1].isspace() else n - len(text.rsplit(None, 1)[-1])
+    for i in range(n if final else 1, n + 1):
         c = text[i - 1]
         if c.isspace():
             start = i
@@ -121,6 +147,97 @@ def contexts(text: str, final: bool = False) -> Iterator[tuple[str, bool]]:
                     yield (k + mask[at:e] if at > 0 else k + "^" + mask[:e]), end
 
 
+#: Characters of pieces whose contexts are kept, as they are likely to come again, and contexts that are gathered at once.
+PIECE_KEPT, GATHERED = 24, 10_000
+
+
+@functools.lru_cache(maxsize=20_000)
+def piece_contexts(before: str, piece: str, ends: tuple[int, ...], low: int, high: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The contexts of the words (w, v, e) in what stands between spaces, at its places ``low`` to ``high``, and those of them that end.
+
+    ``before`` are the two characters before it, or less where the text begins with it; ``ends`` are places in it.
+    """
+    whole, at, n = before + piece, len(before), len(piece)
+    all_: list[str] = []
+    ending: list[str] = []
+    for i in range(low, high + 1):
+        if piece[i - 1].isdigit():  # a number is known by the sentence around it only
+            continue
+        boundary = i == n or not piece[i].isalnum()
+        start = max(at - 2, at + i - WORD_ORDER - 2)
+        word = piece[max(0, i - WORD_ORDER) : i]
+        here = [("w" if start >= 0 else "w^") + whole[max(start, 0) : at + i], "v" + word]
+        all_ += here
+        if boundary:
+            ending += here
+            all_.append("e" + word)
+            if i in ends:
+                ending.append("e" + word)
+    return tuple(all_), tuple(ending)
+
+
+def gathered(text: str) -> Iterator[tuple[list[str], list[str]]]:
+    """``contexts`` in any order, many at once: all of them, and those that end."""
+    n = len(text)
+    if not n:
+        return
+    mask, upto = masked(text)
+    low = list(accumulate(map(str.islower, mask), initial=0))
+    ends = sentence_ends(text)
+    all_: list[str] = []
+    ending: list[str] = []
+    orders = [(k, order, k + "^") for k, order in ORDERS]
+    stops, next_stop = sorted(ends), 0
+    for m in PIECE.finditer(text):
+        a, b = m.span()
+        while stops[next_stop] <= a:
+            next_stop += 1
+        following = next_stop
+        while following < len(stops) and stops[following] <= b:
+            following += 1
+        before, piece, places = text[max(a - 2, 0) : a], text[a:b], tuple(i - a for i in stops[next_stop:following])
+        of = piece_contexts if b - a <= PIECE_KEPT else piece_contexts.__wrapped__
+        for begin_at in range(0, b - a, GATHERED):
+            own, own_ending = of(before, piece, places, begin_at + 1, min(b - a, begin_at + GATHERED))
+            all_ += own
+            ending += own_ending
+            if len(all_) > GATHERED:
+                yield all_, ending
+                all_, ending = [], []
+        for i in range(a + 1, b + 1):
+            e = upto[i]
+            if mask[e - 1] == "X" and i < n and text[i].isalnum():
+                continue
+            end, so_far = i in ends, low[e]
+            for k, order, begin in orders:
+                at = e - order
+                if at > 0:
+                    if so_far - low[at] > 2:
+                        all_.append(key := k + mask[at:e])
+                        if end:
+                            ending.append(key)
+                elif at > -8 and so_far > 2:
+                    all_.append(key := begin + mask[:e])
+                    if end:
+                        ending.append(key)
+            if len(all_) > GATHERED:
+                yield all_, ending
+                all_, ending = [], []
+    for m in NAME.finditer(text):
+        a, b = m.span()
+        for i in range(a + 1, b + 1):
+            c = text[i - 1]
+            if not c.isspace() and not c.isdigit() and (i == n or not text[i].isalnum()):
+                at = max(a - 2, i - NAME_ORDER - 2)
+                all_.append(key := ("n" if at >= 0 else "n^") + text[max(at, 0) : i])
+                if i == b:
+                    ending.append(key)
+        if len(all_) > GATHERED:
+            yield all_, ending
+            all_, ending = [], []
+    yield all_, ending
+
+
 def is_open_json(text: str) -> bool | None:
     """Whether a JSON object lacks its end; None if the text is none."""
     at = text.find("{")
@@ -173,10 +290,9 @@ def _count(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for text in b["core"]:
-                for key, end in contexts(text):
-                    seen[key] += 1
-                    if end:
-                        ended[key] += 1
+                for all_, ending in gathered(text):
+                    seen.update(all_)
+                    ended.update(ending)
                     if len(seen) > FLUSH:  # within a text, too
                         yield flush()
         if seen:

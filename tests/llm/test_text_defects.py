@@ -1,11 +1,16 @@
 """Truncation and broken pairs: cases, and agreement with what is known of the data."""
 
+import math
+import random
+import sys
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from evalmill.llm.language import LanguageModel, fit_languages
-from evalmill.llm.pairs import KEYS, TEMPLATES, alone, defect, defective_pairs, is_copy, is_refusal, lcs, unusual, with_options
-from evalmill.llm.truncation import contexts, core, cut_name, is_open_json, prior_odds, truncated_replies, typed_name
+from evalmill.llm.pairs import KEYS, TEMPLATES, alone, defect, defective_pairs, is_copy, is_refusal, lcs, near, unusual, with_options
+from evalmill.llm.truncation import contexts, core, cut_name, gathered, is_open_json, piece_contexts, prior_odds, truncated_replies, typed_name
 
 QUESTION = "Which place lent its name to the Kerola marathon's half-way mark?"
 OPTIONS = ["Port Varn", "Lake Somil", "Peter de Quesouhiar", "Saint Zovavin"]
@@ -211,3 +216,62 @@ def test_a_word_of_any_length(spark):
     questions = spark.createDataFrame([(f"q{i}", names) for i in range(5)], "question_id string, options array<string>")
     assert 1001 in {r.response_id for r in truncated_replies(df, "content", "question_id", "prior", questions).collect()}
     assert time.time() - began < 90
+
+
+def edits(a, b):
+    """By the whole table; neighbours swapped are one edit."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_near():
+    draw = random.Random(5)
+    for _ in range(3000):
+        a, b = ("".join(draw.choices("abcde"[: draw.randint(2, 5)], k=draw.randint(0, 8))) for _ in range(2))
+        assert all(near(a, b, k) == (edits(a, b) <= k) for k in range(5)), (a, b)
+
+
+def lines_of(call):
+    """Lines of Python that a call runs: its work, whatever the machine."""
+    n, before = 0, sys.gettrace()
+
+    def trace(frame, event, arg):
+        nonlocal n
+        n += event == "line"
+        return trace
+
+    sys.settrace(trace)
+    try:
+        call()
+    finally:
+        sys.settrace(before)
+    return n
+
+
+def test_work_of_near_and_gathered():
+    a, b = "voulfumyunbromquimvalley", "vuolfumyumbromquinvalleys"
+    assert near(a, b, 4) and lines_of(lambda: near(a, b, 4)) < 20 * len(b)  # not all pairs of letters
+    list(gathered("The answer is Port Varn. The old mill stood near the river."))
+    met = piece_contexts.cache_info()
+    list(gathered("The answer is Port Somil. The old mill stood near the river."))
+    assert piece_contexts.cache_info().misses - met.misses <= 2 and piece_contexts.cache_info().hits > met.hits  # what stands behind another word, and the name
+
+
+@pytest.mark.parametrize("text", ["", "  ", "B", "I believe it is Port Varn. The mill of Orm and the Lake stood", "'Bob's' end…  (It's Jean-Luc 2nd's!) x.", "Éa é. 正解は Port Varn。 ٣² ½_a", ". a", "Well ... no . Yes", "ab" * 15_000 + ". C"])
+def test_gathered_is_all_contexts(text):
+    want, all_, ending = list(contexts(text)), Counter(), Counter()
+    for keys, ends in gathered(text):
+        all_.update(keys)
+        ending.update(ends)
+    assert all_ == Counter(k for k, _ in want) and ending == Counter(k for k, end in want if end)
+
+
+def test_kept_pairs_change_no_probability(model):
+    model.letters()
+    for w in ("answer", "größe", "x", "正解"):
+        assert math.isclose(model._all.log_by_pairs(w), sum(map(math.log, model._all.steps_of(f"^{w}$"))), abs_tol=1e-12)
